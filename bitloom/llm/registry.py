@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("quality", "packing", "toxicity", "simhash", "suffix")
+MODULES = ("quality", "packing", "toxicity", "simhash", "suffix", "urls", "bpe", "tokens")
 
 
 def _gather(what: str) -> dict:
