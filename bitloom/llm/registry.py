@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("topk", "quality", "packing", "toxicity", "simhash", "suffix", "urls", "bpe", "tokens")
+MODULES = ("topk", "quality", "packing", "toxicity", "simhash", "suffix", "urls", "bpe", "html", "tokens")
 
 
 def _gather(what: str) -> dict:

@@ -113,7 +113,7 @@ def search(q: Side, x: Side, radius: np.ndarray, rules: TopKRules, same: bool =
         cols, alive = np.arange(len(x.ids)), None
         for a, b in zip(q.stats, x.stats):
             d, slack = _squares(a[lo:hi], b[cols])
-            near = d <= (limit + slack)[:, None]
+            near = ~(d > (limit + slack)[:, None])  # what overflows stays
             alive = near if alive is None else near & alive
             some = alive.any(0)
             if not some.all():
@@ -124,10 +124,10 @@ def search(q: Side, x: Side, radius: np.ndarray, rules: TopKRules, same: bool =
             continue
         if alive.mean() > 0.02:  # many survivors: one product thins them before the exact distances
             d, slack = _squares(q.rough[lo:hi], x.rough[cols])
-            alive &= d <= (limit + slack)[:, None]
+            alive &= ~(d > (limit + slack)[:, None])
             if rules.k < d.shape[1]:  # nor can anything beyond a query's k-th here (one more, for itself)
                 at = min(rules.k + same, d.shape[1] - 1)
-                alive &= d <= (np.partition(d, at, axis=1)[:, at] * np.float32(1 + 1e-6) + 2 * slack)[:, None]
+                alive &= ~(d > (np.partition(d, at, axis=1)[:, at] * np.float32(1 + 1e-6) + 2 * slack)[:, None])
         i, j = np.nonzero(alive)
         i, j = i + lo, cols[j]
         if same:
@@ -206,7 +206,7 @@ def _local(rules: TopKRules):
         full = count >= rules.k
         radius[full] = dist[ends[full] - 1]
         near = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.StructArray.from_arrays([pa.array(side.ids[j]), pa.array(dist)], ["id", "distance"]))
-        fine = side.stats[-1].astype(np.float64)
+        fine = segment_statistics(side.x, rules.levels[-1])
         box = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * fine.shape[1], pa.int32()), pa.array(fine.ravel()))
         return pa.table({"block": t.column("block"), "vec_id": t.column("vec_id"), "embedding": t.column("embedding"), "radius": pa.array(radius), "box": box, "near": near})
 
