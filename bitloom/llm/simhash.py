@@ -1,6 +1,7 @@
 """SimHash near-duplicate groups by random bit sampling.
 
-A document's fingerprint has 128 bits. Each distinct lower-cased word votes on
+A document's fingerprint has 256 bits (at 128, chance brings unrelated short
+documents within reach of real near copies). Each distinct lower-cased word votes on
 every bit with its length as weight; two documents are near duplicates when
 their fingerprints differ in at most ``max_distance`` bits.
 
@@ -39,51 +40,55 @@ from bitloom.session import materialize, table
 
 @dataclass(frozen=True)
 class SimHashRules:
-    max_distance: int = 30
+    max_distance: int = 48
     tables: int = 32
     bits: int = 12
     bucket_cap: int = 2000
     seed: int = 7
 
 
-def fingerprint(text: str | None) -> tuple[int, int] | None:
-    """Both halves of a text's fingerprint, as signed 64-bit integers."""
+BITS = 256
+PARTS = ("f0", "f1", "f2", "f3")
+_COLUMNS = ", ".join(f"{p} bigint" for p in PARTS)
+
+
+def fingerprint(text: str | None) -> tuple[int, ...] | None:
+    """A text's fingerprint as four signed 64-bit integers."""
     w = Words(text.lower() if text else text)
     if not len(w):
         return None
     h, at = np.unique(w.hashes(), return_index=True)
     weight = np.minimum(w.e[at] - w.s[at], 12).astype(np.float32)
-    halves = np.stack([mix(h ^ np.uint64(0xA5A5A5A5A5A5A5A5)), mix(h + np.uint64(0x632BE59BD9B4E019))], 1)
-    bits = np.unpackbits(halves.view(np.uint8).reshape(len(h), 16), axis=1)
+    parts = np.stack([mix(h ^ np.uint64(0xA5A5A5A5A5A5A5A5)), mix(h + np.uint64(0x632BE59BD9B4E019)), mix(h ^ np.uint64(0x3C6EF372FE94F82B)), mix(h + np.uint64(0xBB67AE8584CAA73B))], 1)
+    bits = np.unpackbits(parts.view(np.uint8).reshape(len(h), BITS // 8), axis=1)
     votes = 2 * (weight @ bits.astype(np.float32)) - weight.sum()
-    a, b = np.packbits(votes > 0).view(np.int64)
-    return int(a), int(b)
+    return tuple(np.packbits(votes > 0).view(np.int64).tolist())
 
 
 def _fingerprint_batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in it:
         f = [fingerprint(t) for t in b.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays(
-            [b.column(0), pa.array([x and x[0] for x in f], pa.int64()), pa.array([x and x[1] for x in f], pa.int64())],
-            ["doc_id", "f0", "f1"],
+            [b.column(0), *[pa.array([x and x[k] for x in f], pa.int64()) for k in range(len(PARTS))]],
+            ["doc_id", *PARTS],
         )
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, f0, f1), null halves for texts without words."""
-    return docs.select("doc_id", "text").mapInArrow(_fingerprint_batches, "doc_id bigint, f0 bigint, f1 bigint")
+    """(doc_id, f0, ...), null parts for texts without words."""
+    return docs.select("doc_id", "text").mapInArrow(_fingerprint_batches, "doc_id bigint, " + _COLUMNS)
 
 
 def sampled_bits(rules: SimHashRules) -> np.ndarray:
-    """Each table's own order of the 128 coordinates; the first ones are its key,
+    """Each table's own order of the coordinates; the first ones are its key,
     the next ones cut its oversized buckets."""
     rng = np.random.default_rng(rules.seed)
-    return np.stack([rng.permutation(128) for _ in range(rules.tables)])
+    return np.stack([rng.permutation(BITS) for _ in range(rules.tables)])
 
 
 def _unpacked(f: np.ndarray) -> np.ndarray:
-    """n x 2 halves to n x 128 bits."""
-    return np.unpackbits(np.ascontiguousarray(f).view(np.uint8).reshape(len(f), 16), axis=1)
+    """n x 4 integers to n x 256 bits."""
+    return np.unpackbits(np.ascontiguousarray(f).view(np.uint8).reshape(len(f), BITS // 8), axis=1)
 
 
 def _key_batches(rules: SimHashRules):
@@ -95,11 +100,11 @@ def _key_batches(rules: SimHashRules):
             n = b.num_rows
             if not n:
                 continue
-            ids, f = b.column(0).to_numpy(), np.stack([b.column(1).to_numpy(), b.column(2).to_numpy()], 1)
+            ids, f = b.column(0).to_numpy(), np.stack([b.column(k + 1).to_numpy() for k in range(len(PARTS))], 1)
             bits = _unpacked(f)
             keys = np.stack([bits[:, o[: rules.bits]] @ value + (np.int64(t) << np.int64(rules.bits)) for t, o in enumerate(order)], 1)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys.ravel()), *[pa.array(np.repeat(x, rules.tables)) for x in (ids, f[:, 0], f[:, 1])]], ["bucket", "rep", "f0", "f1"]
+                [pa.array(keys.ravel()), *[pa.array(np.repeat(x, rules.tables)) for x in (ids, *f.T)]], ["bucket", "rep", *PARTS]
             )
 
     return emit
@@ -114,7 +119,7 @@ def linked(f: np.ndarray, order: np.ndarray, used: int, rules: SimHashRules) ->
         at, k = stack.pop()
         if len(at) < 2:
             continue
-        if len(at) > rules.bucket_cap and k < 128:
+        if len(at) > rules.bucket_cap and k < BITS:
             bit = _unpacked(f[at])[:, order[k]].astype(bool)
             stack += [(at[bit], k + 1), (at[~bit], k + 1)]
             continue
@@ -122,11 +127,15 @@ def linked(f: np.ndarray, order: np.ndarray, used: int, rules: SimHashRules) ->
         label = np.arange(len(at))
         rows, cols = [], []
         for lo in range(0, len(at), 512):  # blocks bound the memory of a bucket
-            d = np.bitwise_count(g[lo : lo + 512, None, 0] ^ g[None, :, 0]) + np.bitwise_count(g[lo : lo + 512, None, 1] ^ g[None, :, 1])
-            i, j = np.nonzero(d <= rules.max_distance)
+            d = np.bitwise_count(g[lo : lo + 512, None, 0] ^ g[None, :, 0])
+            d += np.bitwise_count(g[lo : lo + 512, None, 1] ^ g[None, :, 1])
+            i, j = np.nonzero(d <= rules.max_distance)  # half the bits rule out nearly all
             up = j > i + lo
-            rows.append(i[up] + lo)
-            cols.append(j[up])
+            i, j = i[up], j[up]
+            full = d[i, j] + np.bitwise_count(g[i + lo, 2] ^ g[j, 2]).astype(np.int64) + np.bitwise_count(g[i + lo, 3] ^ g[j, 3])
+            near = full <= rules.max_distance
+            rows.append(i[near] + lo)
+            cols.append(j[near])
         i, j = np.concatenate(rows), np.concatenate(cols)
         if not len(i):
             continue
@@ -201,10 +210,10 @@ def components(edges: DataFrame) -> DataFrame:
 
 def _groups(prints: DataFrame, rules: SimHashRules) -> DataFrame:
     """(doc_id, keep_id) for every document that another one stands for."""
-    one = prints.where("doc_id is not null and f0 is not null").groupBy("doc_id").agg(F.min(F.struct("f0", "f1")).alias("f")).select("doc_id", "f.*")
-    one = materialize(one.withColumn("rep", F.min("doc_id").over(Window.partitionBy("f0", "f1"))), "simhash-reps")
-    reps = one.where("doc_id = rep").select("rep", "f0", "f1")
-    keyed = reps.mapInArrow(_key_batches(rules), "bucket bigint, rep bigint, f0 bigint, f1 bigint")
+    one = prints.where("doc_id is not null and f0 is not null").groupBy("doc_id").agg(F.min(F.struct(*PARTS)).alias("f")).select("doc_id", "f.*")
+    one = materialize(one.withColumn("rep", F.min("doc_id").over(Window.partitionBy(*PARTS))), "simhash-reps")
+    reps = one.where("doc_id = rep").select("rep", *PARTS)
+    keyed = reps.mapInArrow(_key_batches(rules), "bucket bigint, rep bigint, " + _COLUMNS)
     edges = keyed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_link_batches(rules), "a bigint, b bigint")
     roots = components(edges)
     same = one.select("doc_id", "rep")
