@@ -1,0 +1,269 @@
+"""Entropy coders of T.88: the adaptive arithmetic coder and what rests on it.
+
+Each is serial within a region and runs in parallel over regions, in Arrow
+batches."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+
+from bitloom.session import table
+
+_QE = "5601 3401 1801 0AC1 0521 0221 5601 5401 4801 3801 3001 2401 1C01 1601 5601 5401 5101 4801 3801 3401 3001 2801 2401 2201 1C01 1801 1601 1401 1201 1101 0AC1 09C1 08A1 0521 0441 02A1 0221 0141 0111 0085 0049 0025 0015 0009 0005 0001 5601"
+QE = [int(x, 16) for x in _QE.split()]
+NMPS = [1, 2, 3, 4, 5, 38, 7, 8, 9, 10, 11, 12, 13, 29, *range(15, 46), 45, 46]
+NLPS = [1, 6, 9, 12, 29, 33, 6, 14, 14, 14, 17, 18, 20, 21, 14, 14, 15, 16, 17, 18, 19, 19, *range(20, 44), 46]
+NLPS = NLPS[:46] + [46]
+FLIP = {0, 6, 14}
+
+
+class Encoder:
+    """Codes bits under contexts, states being held by the caller's dictionary."""
+
+    def __init__(self) -> None:
+        self.a, self.c, self.ct = 0x8000, 0, 12
+        self.out = bytearray([0])
+        self.states: dict[int, tuple[int, int]] = {}
+
+    def _byte(self) -> None:
+        if self.out[-1] == 0xFF:
+            self.out.append(self.c >> 20 & 0xFF)
+            self.c &= 0xFFFFF
+            self.ct = 7
+            return
+        if self.c >= 0x8000000:
+            self.out[-1] += 1
+            self.c &= 0x7FFFFFF
+            if self.out[-1] == 0xFF:
+                self.out.append(self.c >> 20 & 0xFF)
+                self.c &= 0xFFFFF
+                self.ct = 7
+                return
+        self.out.append(self.c >> 19 & 0xFF)
+        self.c &= 0x7FFFF
+        self.ct = 8
+
+    def _scale(self) -> None:
+        while True:
+            self.a = self.a << 1 & 0xFFFF
+            self.c <<= 1
+            self.ct -= 1
+            if not self.ct:
+                self._byte()
+            if self.a & 0x8000:
+                return
+
+    def bit(self, ctx: int, d: int) -> None:
+        i, mps = self.states.get(ctx, (0, 0))
+        q = QE[i]
+        self.a -= q
+        if d == mps:
+            if self.a & 0x8000:
+                self.c += q
+                return
+            if self.a < q:
+                self.a = q
+            else:
+                self.c += q
+            self.states[ctx] = NMPS[i], mps
+        else:
+            if self.a < q:
+                self.c += q
+            else:
+                self.a = q
+            self.states[ctx] = NLPS[i], 1 - mps if i in FLIP else mps
+        self._scale()
+
+    def finish(self) -> bytes:
+        top = self.c + self.a
+        self.c |= 0xFFFF
+        if self.c >= top:
+            self.c -= 0x8000
+        for _ in range(2):
+            self.c <<= self.ct
+            self._byte()
+        if self.out[-1] != 0xFF:
+            self.out.append(0xFF)
+        self.out.append(0xAC)
+        return bytes(self.out[1:])
+
+
+class Decoder:
+    def __init__(self, data: bytes) -> None:
+        self.data, self.at = data, 0
+        self.states: dict[int, tuple[int, int]] = {}
+        self.c = self._at(0) << 16
+        self.ct = 0
+        self._byte()
+        self.c <<= 7
+        self.ct -= 7
+        self.a = 0x8000
+
+    def _at(self, k: int) -> int:
+        return self.data[k] if k < len(self.data) else 0xFF
+
+    def _byte(self) -> None:
+        if self._at(self.at) == 0xFF:
+            if self._at(self.at + 1) > 0x8F:
+                self.c += 0xFF00
+                self.ct = 8
+            else:
+                self.at += 1
+                self.c += self._at(self.at) << 9
+                self.ct = 7
+        else:
+            self.at += 1
+            self.c += self._at(self.at) << 8
+            self.ct = 8
+
+    def bit(self, ctx: int) -> int:
+        i, mps = self.states.get(ctx, (0, 0))
+        q = QE[i]
+        self.a -= q
+        if self.c >> 16 < q:
+            d = mps if self.a < q else 1 - mps
+            lower = self.a >= q
+            self.a = q
+        else:
+            self.c -= q << 16
+            if self.a & 0x8000:
+                return mps
+            lower = self.a < q
+            d = 1 - mps if lower else mps
+        if lower:
+            self.states[ctx] = NLPS[i], 1 - mps if i in FLIP else mps
+        else:
+            self.states[ctx] = NMPS[i], mps
+        while True:
+            if not self.ct:
+                self._byte()
+            self.a = self.a << 1 & 0xFFFF
+            self.c = self.c << 1 & 0xFFFFFFFF
+            self.ct -= 1
+            if self.a & 0x8000:
+                return d
+
+
+BUCKETS = ((0, 2), (4, 4), (20, 6), (84, 8), (340, 12), (4436, 32))
+
+
+def encode_integer(enc: Encoder, v: int | None, base: int = 0) -> None:
+    """Signed integers in six magnitude buckets; None is the out-of-band value."""
+    prev = 1
+
+    def put(b: int) -> None:
+        nonlocal prev
+        enc.bit(base + prev, b)
+        prev = prev << 1 | b if prev < 256 else ((prev << 1 | b) & 511) | 256
+
+    put(1 if v is None or v < 0 else 0)
+    m = abs(v or 0)
+    k = max(i for i, (low, _) in enumerate(BUCKETS) if m >= low)
+    for i in range(min(k, 5)):
+        put(1)
+    if k < 5:
+        put(0)
+    low, bits = BUCKETS[k]
+    for i in range(bits - 1, -1, -1):
+        put((m - low) >> i & 1)
+
+
+def decode_integer(dec: Decoder, base: int = 0) -> int | None:
+    prev = 1
+
+    def get() -> int:
+        nonlocal prev
+        b = dec.bit(base + prev)
+        prev = prev << 1 | b if prev < 256 else ((prev << 1 | b) & 511) | 256
+        return b
+
+    sign = get()
+    k = 0
+    while k < 5 and get():
+        k += 1
+    low, bits = BUCKETS[k]
+    m = 0
+    for _ in range(bits):
+        m = m << 1 | get()
+    m += low
+    return None if sign and not m else -m if sign else m
+
+
+def _context(rows: list[int], y: int, x: int, width: int, so_far: int) -> int:
+    """The 16 neighbours of template 0 with its nominal adaptive pixels."""
+
+    def px(dy: int, dx: int) -> int:
+        xx, yy = x + dx, y + dy
+        if yy < 0 or xx < 0 or xx >= width:
+            return 0
+        row = rows[yy] if yy < y else so_far
+        return row >> (width - 1 - xx) & 1
+
+    ctx = 0
+    for dy, dx in ((0, -1), (0, -2), (0, -3), (0, -4), (-1, 3), (-1, 2), (-1, 1), (-1, 0), (-1, -1), (-1, -2), (-1, -3), (-2, 2), (-2, 1), (-2, 0), (-2, -1), (-2, -2)):
+        ctx = ctx << 1 | px(dy, dx)
+    return ctx
+
+
+def encode_region(rows: list[int], width: int) -> bytes:
+    enc = Encoder()
+    for y, row in enumerate(rows):
+        so_far = 0
+        for x in range(width):
+            b = row >> (width - 1 - x) & 1
+            enc.bit(_context(rows, y, x, width, so_far), b)
+            so_far |= b << (width - 1 - x)
+    return enc.finish()
+
+
+def decode_region(data: bytes, width: int, height: int) -> list[int]:
+    dec, rows = Decoder(data), []
+    for y in range(height):
+        row = 0
+        for x in range(width):
+            row |= dec.bit(_context(rows, y, x, width, row)) << (width - 1 - x)
+        rows.append(row)
+    return rows
+
+
+def generic_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every glyph coded as a generic region and decoded again."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            size, same = [], []
+            for e in b.column(1).to_pylist():
+                rows = [sum((v > 0) << (7 - i) for i, v in enumerate(e[8 * r : 8 * r + 8])) for r in range(8)]
+                data = encode_region(rows, 8)
+                size.append(len(data))
+                same.append(decode_region(data, 8, 8) == rows)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int32()), pa.array(same, pa.bool_())], ["vec_id", "n_bytes", "same"])
+
+    return table(spark, sf_dir, "embeddings").where("size(embedding) = 64").select("vec_id", "embedding").mapInArrow(run, "vec_id bigint, n_bytes int, same boolean")
+
+
+def integer_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every batch of quantities coded with the arithmetic integer coder."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            keys, values = b.column(0).to_pylist(), b.column(1).to_pylist()
+            size, same = [], []
+            for v in values:
+                enc = Encoder()
+                for x in v:
+                    encode_integer(enc, x)
+                data = enc.finish()
+                dec = Decoder(data)
+                size.append(len(data))
+                same.append([decode_integer(dec) for _ in v] == v)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(size, pa.int32()), pa.array(same, pa.bool_())], ["o_orderkey", "n_bytes", "same"])
+
+    sql = "select l_orderkey as o_orderkey, collect_list(case when l_linenumber % 2 = 0 then -cast(l_quantity as bigint) else cast(l_extendedprice as bigint) end) as v from {lineitem} group by l_orderkey"
+    return spark.sql(sql, lineitem=table(spark, sf_dir, "lineitem")).mapInArrow(run, "o_orderkey bigint, n_bytes int, same boolean")
+
+
+QUERIES = {"generic_roundtrip": generic_roundtrip, "integer_roundtrip": integer_roundtrip}
