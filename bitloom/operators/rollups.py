@@ -22,6 +22,6 @@ TEMPLATES = {
     "strict_mismatch": Template("select fixture, count(*) as n from outcome where verdict in ('Crash', 'Timeout') group by fixture having count(*) > 2", ("outcome",)),
     "catalog_antijoin": Template("select distinct k.impl from known k left join outcome o on o.impl = k.impl where o.impl is null", ("known", "outcome")),
     "anchor_conflicts": Template("select kind, path, count(distinct expected) as n from anchor group by kind, path having count(distinct expected) > 1", ("anchor",)),
-    "bitflip_sweep": Template("select p_partkey, k, $xor[p_size,1 << k] as flipped from (select p_partkey, p_size, cast($explode($range(0, 7)) as int) as k from {part}) s"),
+    "bitflip_sweep": Template("select p_partkey, k, $xor[p_size,1 << k] as flipped from (select p_partkey, p_size, cast(j as int) as k from (select p_partkey, p_size, $explode($range(0, 7)) as j from {part}) r) s"),
     "budget_cut": Template("select event_id, impl from (select event_id, impl, sum(event_id % 7 + 1) over (partition by impl order by event_id) as spent from outcome) b where spent <= 600", ("outcome",)),
 }
