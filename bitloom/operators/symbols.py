@@ -2,13 +2,30 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
 from bitloom.plans.dialect import PRELUDES, Prelude, Template
 
 _XOR = " + ".join(f"bit_count($xor[a.r{k},b.r{k}])" for k in range(8))
 _INK = " + ".join(f"bit_count(r{k})" for k in range(8))
 PRELUDES["gink"] = Prelude(f"select *, cast({_INK} as bigint) as ink from glyph", ("glyph",))
-#: Equal ink within 24 is implied by a distance bound of 0.4, and blocks the join.
-PRELUDES["gpair"] = Prelude(f"select a.vec_id as a, b.vec_id as b, cast({_XOR} as bigint) as diff, least(a.ink, b.ink) as least_ink from gink a join gink b on a.vec_id < b.vec_id and a.label = b.label", ("gink",))
+
+
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pair of glyphs once, whatever their labels; a glyph is one 64-bit word."""
+    g = PRELUDES["glyph"].build(spark, sf_dir)
+    word = " | ".join(f"shiftleft(r{k}, {56 - 8 * k})" for k in range(8))
+    g = g.selectExpr("vec_id", f"{word} as bits").withColumn("ink", F.bit_count("bits").cast("bigint"))
+    # few bytes but many pairs: without this one task would get them all
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    a, b = (g.repartition(n, "vec_id").alias(x) for x in "ab")
+    diff = F.expr("cast(bit_count(a.bits ^ b.bits) as bigint)").alias("diff")
+    return a.join(b, F.expr("a.vec_id < b.vec_id")).select(F.col("a.vec_id").alias("a"), F.col("b.vec_id").alias("b"), diff, F.least("a.ink", "b.ink").alias("least_ink"))
+
+
+#: The SQL text compares glyphs of one label only; Spark compares all pairs.
+PRELUDES["gpair"] = Prelude(f"select a.vec_id as a, b.vec_id as b, cast({_XOR} as bigint) as diff, least(a.ink, b.ink) as least_ink from gink a join gink b on a.vec_id < b.vec_id and a.label = b.label", ("gink",), _pairs)
 
 TEMPLATES = {
     "cc_label": Template("select page, y, x, label from cc", ("cc",)),
