@@ -79,7 +79,7 @@ class Hot:
         starts = np.cumsum(sizes) - sizes
         self.flat = np.frombuffer(b"".join(ids.to_pylist()), kind)
         order = np.argsort(keys)
-        self.keys, self.starts, self.sizes = keys[order], starts[order].astype(np.uint32), sizes[order].astype(np.uint16)
+        self.keys, self.starts, self.sizes = keys[order], starts[order].astype(np.uint32), sizes[order].astype(np.uint32)
 
     def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not len(self.keys):

@@ -1,0 +1,15 @@
+"""Words of more ids than 16 bits count."""
+
+import pytest
+
+from bitloom.llm import bpe
+
+
+@pytest.mark.parametrize("hot_words", [0, 50])
+def test_a_word_of_more_than_65535_ids(spark, hot_words):
+    text = "qz" * 70_000
+    docs = spark.createDataFrame([(1, "before " + text + " after"), (2, "short")], "doc_id bigint, text string")
+    got = {r.doc_id: r for r in bpe.encode_documents(docs, hot_words=hot_words).collect()}
+    assert got[1].n_tokens == len(got[1].ids) > 65_535
+    assert got[1].round_trip and got[2].round_trip
+    assert bpe.decode_documents(spark.createDataFrame([(1, got[1].ids)], "doc_id bigint, ids array<int>")).first().text == "before " + text + " after"
