@@ -60,12 +60,14 @@ class SuffixRules:
 # ---- anchors -------------------------------------------------------------------
 
 
-def anchored(w: Words, rules: SuffixRules) -> tuple[list[tuple[int, int, int]], np.ndarray, list[tuple[int, int]]]:
+def anchored(w: Words, rules: SuffixRules) -> tuple[list[tuple[int, int, int]], np.ndarray, list[tuple[int, int, int, int]]]:
     """((anchor, first, last window), ...), gram hashes by word, and the runs of
-    windows that repeat an earlier window of the same document.
+    windows that repeat an earlier window of the same document, as (start, end,
+    first and last of the windows they repeat).
 
-    A document's own repeats are settled here by comparing their text; only first
-    occurrences have anchors."""
+    A document's own repeats are found here by comparing their text; only first
+    occurrences have anchors. A run that repeats windows of several places is
+    there once for each place."""
     n, m, g = len(w), rules.min_words, rules.gram
     if n < m:
         return [], np.zeros(0, np.uint64), []
@@ -80,11 +82,14 @@ def anchored(w: Words, rules: SuffixRules) -> tuple[list[tuple[int, int, int]],
                 repeat[p] = False
     grams = span_hash(w.h, w.s[: n - g + 1], w.e[g - 1 :])
     at = windows + np.lib.stride_tricks.sliding_window_view(grams, m - g + 1).argmin(1)
-    own: list[tuple[int, int]] = []
+    own: list[tuple[int, int, int, int]] = []
     if repeat.any():
         r = np.flatnonzero(repeat)
         cut = np.flatnonzero(np.diff(r) > 1) + 1
-        own = [(int(x[0]), int(x[-1]) + m) for x in np.split(r, cut)]
+        for x in np.split(r, cut):
+            q = np.unique(first[back[x]])
+            for y in np.split(q, np.flatnonzero(np.diff(q) > 1) + 1):
+                own.append((int(x[0]), int(x[-1]) + m, int(y[0]), int(y[-1])))
         windows, at = windows[~repeat], at[~repeat]
     cuts = np.flatnonzero((np.diff(at) != 0) | (np.diff(windows) != 1)) + 1
     lo, hi = np.concatenate(([0], cuts)), np.concatenate((cuts, [len(at)]))
@@ -105,12 +110,14 @@ _ANCHORS = "doc_id bigint, key bigint, gram bigint, place bigint, prefix bigint"
 #: place: the anchor's word, its distance from the first window, and the number
 #: of further windows, in one number.
 _FIELD = 1 << 16
+#: Of two word positions in one number.
+_HALF = 1 << 31
 
 
 def _anchor_batches(rules: SuffixRules):
     """Anchors as (doc_id, key, gram, place, prefix); the prefix only for the
-    sampled ones. A document's own repeats have no gram; place and prefix then
-    hold start and end."""
+    sampled ones. A document's own repeats have no gram; place then holds start
+    and end, and prefix the first and last window that they repeat."""
 
     def emit(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
@@ -124,7 +131,7 @@ def _anchor_batches(rules: SuffixRules):
                 for a, p, q in anchors:
                     x = gs[a]
                     rows.append((i, h, x, (a * _FIELD + a - p) * _FIELD + q - p, None if x % rules.sampling else _prefix_key(w, a)))
-                rows += [(i, h, None, s, e) for s, e in own]
+                rows += [(i, h, None, s * _HALF + e, a * _HALF + b) for s, e, a, b in own]
             cols = list(zip(*rows)) if rows else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "key", "gram", "place", "prefix"])
 
@@ -295,9 +302,11 @@ def _settle(group: list[tuple[bytes, bytes]], m: int, out: list[tuple]) -> None:
         for k, key in enumerate(mine):
             own = first[key]
             if own != (i, h, p + k):
+                if start is not None and source != own[0]:  # a span has one source
+                    out.append((i, h, start, p + k - 1 + m, source))
+                    start = None
                 if start is None:
                     start, source = p + k, own[0]
-                source = min(source, own[0])
             elif start is not None:
                 out.append((i, h, start, p + k - 1 + m, source))
                 start = None
@@ -333,7 +342,8 @@ def _spans(docs: DataFrame, rules: SuffixRules) -> DataFrame:
     place = F.coalesce("gram", "doc_id")
     counted = found.withColumn("n", F.count("*").over(Window.partitionBy(place, F.col("gram").isNull())))
     anchors = materialize(counted.where("gram is null or n > 1").select("doc_id", "key", F.col("gram").isNull().alias("own"), "place", "prefix"), "suffix-anchors")
-    own = anchors.where("own").select("doc_id", "key", F.col("place").alias("start"), F.col("prefix").alias("end"), F.col("doc_id").alias("first_doc_id"))
+    half = lambda c, k: F.expr(f"{c} div {_HALF}L" if k == 0 else f"{c} % {_HALF}L")
+    own = anchors.where("own").select("doc_id", "key", half("place", 0).alias("start"), half("place", 1).alias("end"), half("prefix", 0).alias("low"), half("prefix", 1).alias("high"))
     alive = anchors.where("not own")
     n, sampled = alive.agg(F.count("*"), F.count("prefix")).first()
     ranges = max(1, round(n / rules.range_suffixes))
@@ -342,8 +352,16 @@ def _spans(docs: DataFrame, rules: SuffixRules) -> DataFrame:
     bounds = sorted({sample[len(sample) * k // ranges] for k in range(1, ranges)}) if sample else []
     by_doc = alive.groupBy("doc_id").agg(F.collect_list(F.struct("key", "place")).alias("anchors"))
     runs = docs.join(by_doc, "doc_id").select("doc_id", "text", "anchors").mapInArrow(_run_batches(rules, bounds), "range int, run binary")
-    merged = runs.groupBy("range").applyInArrow(_merge_range(rules), _SPANS)
-    return _islands(merged.union(own))
+    merged = materialize(runs.groupBy("range").applyInArrow(_merge_range(rules), _SPANS), "suffix-merged")
+    return _islands(merged.union(_sourced(own, merged, rules)))
+
+
+def _sourced(own: DataFrame, merged: DataFrame, rules: SuffixRules) -> DataFrame:
+    """A document's own repeats with the source found for the windows that they
+    repeat: the document itself where those are the first ones of the corpus."""
+    found = merged.select(F.col("doc_id").alias("i"), F.col("key").alias("k"), F.col("start").alias("s"), (F.col("end") - rules.min_words).alias("e"), "first_doc_id")
+    same = (F.col("doc_id") == F.col("i")) & (F.col("key") == F.col("k")) & (F.col("low") <= F.col("e")) & (F.col("high") >= F.col("s"))
+    return own.join(found, same, "left").groupBy("doc_id", "key", "start", "end").agg(F.coalesce(F.min("first_doc_id"), "doc_id").alias("first_doc_id"))
 
 
 def repeated_passages(docs: DataFrame, rules: SuffixRules = SuffixRules()) -> DataFrame:
