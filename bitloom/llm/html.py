@@ -8,11 +8,12 @@ after another along a longest common subsequence of their items; an item that
 one side lacks becomes optional, ``( )?``; a single unit facing its repetition
 becomes repeated; two repetitions facing each other at the same place are aligned
 inside. There is no disjunction. A text that is the same on all pages of the
-host that have it is part of the template; all others are slots of the data.
+host that have it, at least two pages of different texts, is part of the
+template; all others are slots of the data.
 A page's result is the texts of its slots.
 
 Alignment works on distinct shapes, not on pages: tasks reduce their pages to
-(host, shape, count, the range of each text's hash), salted parts of a host are
+(host, shape, count, the ranges of the hashes of each text and of the pages), salted parts of a host are
 aligned in parallel and their wrappers aligned once more, so a hot host is no
 task of its own, and no page text is shuffled for the inference. Extraction reads
 the pages again and looks each one's texts up in its host's wrapper.
@@ -29,7 +30,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, replace
 from html import unescape
 
@@ -145,17 +146,21 @@ def items_of(expression: str) -> list[str]:
 @dataclass(frozen=True, slots=True)
 class Item:
     """A part of a wrapper. low and high: range of the hashes of its texts on the
-    pages that have it, None without texts; n: the number of those pages."""
+    pages that have it, None without texts; n: the number of those pages, copies
+    included; least and most: range of the hashes of all their texts, which tells
+    copies of one page from several pages."""
 
     what: str
     optional: bool = False
     low: int | None = None
     high: int | None = None
     n: int = 0
+    least: int | None = None
+    most: int | None = None
 
     @property
     def constant(self) -> bool:
-        return self.n > 1 and self.low is not None and self.low == self.high
+        return self.least != self.most and self.low is not None and self.low == self.high
 
 
 def common(a: list, b: list) -> list[tuple[int, int]]:
@@ -182,6 +187,10 @@ def common(a: list, b: list) -> list[tuple[int, int]]:
     return out[::-1]
 
 
+def _range(lows: Iterable[int | None], highs: Iterable[int | None]) -> tuple[int | None, int | None]:
+    return min((x for x in lows if x is not None), default=None), max((x for x in highs if x is not None), default=None)
+
+
 def _fold(items: list[Item], unit: list[str], plus: str) -> list[Item]:
     """Single units become the repetition that the other side has."""
     what = [x.what for x in items]
@@ -192,7 +201,7 @@ def _fold(items: list[Item], unit: list[str], plus: str) -> list[Item]:
             same = [x for x in part if x.low is not None]
             # one text keeps its range; several are compared no further
             low, high = (same[0].low, same[0].high) if len(same) == 1 else (None, None) if not same else (0, 1)
-            out.append(Item(plus, any(x.optional for x in part), low, high, max(x.n for x in part)))
+            out.append(Item(plus, any(x.optional for x in part), low, high, max(x.n for x in part), *_range((x.least for x in part), (x.most for x in part))))
             k += n
         else:
             out.append(items[k])
@@ -220,8 +229,7 @@ def _inside(a: str, b: str) -> str | None:
 
 
 def _joined(a: Item, b: Item, what: str) -> Item:
-    lows, highs = [x for x in (a.low, b.low) if x is not None], [x for x in (a.high, b.high) if x is not None]
-    return Item(what, a.optional or b.optional, min(lows, default=None), max(highs, default=None), a.n + b.n)
+    return Item(what, a.optional or b.optional, *_range((a.low, b.low), (a.high, b.high)), a.n + b.n, *_range((a.least, b.least), (a.most, b.most)))
 
 
 def align(a: list[Item], b: list[Item]) -> list[Item]:
@@ -305,8 +313,9 @@ def _parsed(html: str) -> tuple[list[str], list[int], list[list[str]]]:
     return items, count, per
 
 
-_SHAPES = "host string, salt int, items array<string>, optional array<boolean>, low array<bigint>, high array<bigint>, n array<bigint>"
-_WRAPPERS = "host string, items array<string>, optional array<boolean>, low array<bigint>, high array<bigint>, n array<bigint>"
+_FIELDS = ["items", "optional", "low", "high", "n", "least", "most"]
+_SHAPES = "host string, salt int, items array<string>, optional array<boolean>, low array<bigint>, high array<bigint>, n array<bigint>, least array<bigint>, most array<bigint>"
+_WRAPPERS = "host string, items array<string>, optional array<boolean>, low array<bigint>, high array<bigint>, n array<bigint>, least array<bigint>, most array<bigint>"
 
 
 def _shape_batches(salts: int):
@@ -321,16 +330,18 @@ def _shape_batches(salts: int):
                 if not items:
                     continue
                 h = [_hash(t) if t else None for t in per]
+                page = _hash([x for t in per for x in t])
                 key = (host, "".join(items))
                 old = seen.get(key)
                 if old is None:
-                    seen[key] = [items, h, list(h), 1]
+                    seen[key] = [items, h, list(h), 1, page, page]
                     size += len(items)
                 else:
                     for k, x in enumerate(h):
                         if x is not None:
                             old[1][k], old[2][k] = min(old[1][k], x), max(old[2][k], x)
                     old[3] += 1
+                    old[4], old[5] = min(old[4], page), max(old[5], page)
             if size > 1 << 20:  # bounds memory; the same shape may be sent again
                 yield rows(seen)
                 seen, size = {}, 0
@@ -338,23 +349,23 @@ def _shape_batches(salts: int):
             yield rows(seen)
 
     def rows(seen: dict) -> pa.RecordBatch:
-        cols: list[list] = [[] for _ in range(7)]
-        for (host, key), (items, low, high, n) in seen.items():
-            for c, v in zip(cols, (host, zlib.crc32(key.encode("utf-8", "surrogatepass")) % salts, items, [False] * len(items), low, high, [n] * len(items))):
+        cols: list[list] = [[] for _ in range(9)]
+        for (host, key), (items, low, high, n, least, most) in seen.items():
+            for c, v in zip(cols, (host, zlib.crc32(key.encode("utf-8", "surrogatepass")) % salts, items, [False] * len(items), low, high, [n] * len(items), [least] * len(items), [most] * len(items))):
                 c.append(v)
-        kinds = (pa.string(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()))
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["host", "salt", "items", "optional", "low", "high", "n"])
+        kinds = (pa.string(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.bool_()), *[pa.list_(pa.int64())] * 5)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["host", "salt", *_FIELDS])
 
     return emit
 
 
 def _items(row: dict) -> list[Item]:
-    return [Item(*x) for x in zip(row["items"], row["optional"], row["low"], row["high"], row["n"])]
+    return [Item(*x) for x in zip(*(row[f] for f in _FIELDS))]
 
 
 def _infer(t: pa.Table) -> pa.Table:
     once: dict[tuple, list[Item]] = {}
-    for r in t.select(["items", "optional", "low", "high", "n"]).to_pylist():
+    for r in t.select(_FIELDS).to_pylist():
         s = _items(r)
         key = tuple((x.what, x.optional) for x in s)
         old = once.get(key)
@@ -368,13 +379,15 @@ def _infer(t: pa.Table) -> pa.Table:
             "low": pa.array([[x.low for x in w]], pa.list_(pa.int64())),
             "high": pa.array([[x.high for x in w]], pa.list_(pa.int64())),
             "n": pa.array([[x.n for x in w]], pa.list_(pa.int64())),
+            "least": pa.array([[x.least for x in w]], pa.list_(pa.int64())),
+            "most": pa.array([[x.most for x in w]], pa.list_(pa.int64())),
         }
     )
 
 
 def infer_wrappers(pages: DataFrame, salts: int = 32) -> DataFrame:
     """One row per host: the items of its wrapper, whether each is optional, the
-    range of its texts' hashes, and the pages that have it."""
+    range of its texts' hashes, and the pages that have it with their range."""
     shapes = pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(_shape_batches(salts), _SHAPES)
     return shapes.groupBy("host", "salt").applyInArrow(_infer, _WRAPPERS).groupBy("host").applyInArrow(_infer, _WRAPPERS)
 
@@ -388,7 +401,7 @@ def _extract(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in it:
         slots, template, out = [], [], []
         hosts = b.column(1).to_pylist()
-        cols = [b.column(k) for k in range(3, 8)]
+        cols = [b.column(k) for k in range(3, 3 + len(_FIELDS))]
         for k, (host, html) in enumerate(zip(hosts, b.column(2).to_pylist())):
             if html is None or not cols[0][k].is_valid:
                 out.append(None if html is None else "")
@@ -423,7 +436,7 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     wrappers = materialize(infer_wrappers(pages), "wrappers").withColumnRenamed("host", "w_host")
     keyed = pages.select("page_id", host_of(F.col("url")).alias("host"), "html")
     both = keyed.join(wrappers, F.col("host") == F.col("w_host"), "left")
-    return both.select("page_id", "host", "html", "items", "optional", "low", "high", "n").mapInArrow(_extract, _OUT)
+    return both.select("page_id", "host", "html", *_FIELDS).mapInArrow(_extract, _OUT)
 
 
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

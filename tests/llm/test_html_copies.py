@@ -1,0 +1,15 @@
+"""Copies of a page are no second page."""
+
+from bitloom.llm import html
+
+
+def test_copies_of_a_page_prove_no_template(spark):
+    page = "<html><h1>Shop</h1><p>{0}</p></html>"
+    special = "<html><h1>Shop</h1><p>special</p><table><tr><td>only here</td></tr></table></html>"
+    rows = [(k, page.format(f"text {k}")) for k in range(6)] + [(k, special) for k in (10, 11, 12)]
+    df = spark.createDataFrame([(k, f"http://h.com/{k}", t) for k, t in rows], "page_id bigint, url string, html string")
+    got = {r.page_id: r.text.split("\n") for r in html.extract_pages(df).collect()}
+    once = {r.page_id: r.text.split("\n") for r in html.extract_pages(df.where("page_id < 11")).collect()}
+    assert once[10] == ["special", "only here"]
+    assert got == once | {11: once[10], 12: once[10]}
+    assert got[3] == ["text 3"]
