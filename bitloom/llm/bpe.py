@@ -1,217 +1,296 @@
 """Byte-level BPE encoding and decoding over a global table of distinct words.
 
-Encoding: every text is split into pre-tokens; the distinct ones of the whole
-corpus are gathered by one shuffle and each is encoded once. The ids are joined
-back to the pre-tokens by word, and each document is reassembled by position.
-
-Word frequencies are steep, so the join has two parts: the ``hot_words`` most
-frequent words (a fixed number, whatever the corpus) travel to the tasks as one
-array, and only the occurrences of all other words are exploded with their
-positions and joined through a shuffle. A document travels as its token ids with
-holes, two bytes a token, never as exploded rows.
-
-Decoding joins ids with the table of token bytes, which has the fixed size of the
-vocabulary, and compares the result's hash with the text's.
+Encoding:
+
+1. Explode: one scan splits every text into pre-tokens. A chunk (consecutive
+   documents of about ``chunk_chars`` characters) yields each of its distinct words
+   once, with a number, and each of its documents as the numbers by position.
+2. The distinct words of the whole corpus are gathered by one shuffle and each is
+   encoded once.
+3. Decode: the words' ids are exploded by position and joined with the token-byte
+   table, which has the size of the vocabulary and may thus be broadcast.
+4. Ids and decoded bytes are joined back by word, and each chunk's documents are
+   reassembled by position.
+
+Numbering words within a chunk is the aggregation before the shuffle: a word that
+is a third of all pre-tokens is one row per chunk. Within a chunk words are told
+apart by their bytes; the joins use a 128-bit BLAKE2b key, since a word can be very
+long, and each hit's bytes are then compared with the word's. ``round_trip`` says
+whether every word of the text decodes to its own bytes and the whole decoded text
+has the length and the BLAKE2b digest of the text's bytes.
 
 Defined results: null text has null ids and a null round trip; empty text has no
-ids; repeated rows each get their ids; other columns are ignored; an empty table
-gives an empty result.
+ids; texts and words of any length are encoded whole; repeated rows each get their
+ids; ``doc_id`` may be of any type; other columns are ignored; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bitloom.llm.pretokens import Batch, merge_word
-from bitloom.llm.textops import hash_bytes, prefix_hash, span_hash
-from bitloom.llm.tokens import VOCABULARY, slices, vocabulary
+from bitloom.llm.pretokens import Batch
+from bitloom.llm.tokens import VOCABULARY, merger, slices, vocabulary
 from bitloom.session import materialize, table
 
-#: 16 bytes each where they are used.
-HOT_WORDS = 1 << 20
-
+#: Characters of a chunk; it bounds a task's memory and changes no result.
+CHUNK_CHARS = 1 << 25
+
+
+def pack_numbers(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(seven bits a byte, least first; the end of each number)."""
+    size = 1 + sum((v >= 1 << k).astype(np.int64) for k in (7, 14, 21, 28))
+    ends = np.cumsum(size)
+    out = np.zeros(int(ends[-1]) if len(v) else 0, np.uint8)
+    at = ends - size
+    for k in range(5):
+        more = size > k
+        out[at[more] + k] = (v[more] >> (7 * k) & 127) | (size[more] > k + 1).astype(np.int64) << 7
+    return out, ends
+
+
+def unpack_numbers(b: np.ndarray) -> np.ndarray:
+    if not len(b):
+        return np.zeros(0, np.int64)
+    starts = np.concatenate(([0], np.flatnonzero(b < 128)[:-1] + 1))
+    place = np.arange(len(b)) - np.repeat(starts, np.diff(np.append(starts, len(b))))
+    return np.add.reduceat((b & 127).astype(np.int64) << (7 * place), starts)
+
+
+def _gather(flat: np.ndarray, ends: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The parts ``at`` of an array cut at ``ends``, in a row; and their lengths."""
+    size = np.diff(ends, prepend=0)
+    n = size[at]
+    begin = (ends - size)[at]
+    return flat[np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())], n
+
+
+# ---- encoding ------------------------------------------------------------------------
+
+
+class _Chunk:
+    def __init__(self) -> None:
+        self.ids: list[pa.Array] = []
+        self.words: list[pa.DictionaryArray] = []
+        self.counts: list[np.ndarray] = []
+        self.digests: list[bytes | None] = []
+        self.lengths: list[int | None] = []
+        self.size = 0
+
+    def add(self, ids: pa.Array, texts: list[str | None]) -> None:
+        x = Batch(texts)
+        self.ids.append(ids)
+        self.words.append(x.words())
+        self.counts.append(np.bincount(x.doc, minlength=len(texts)))
+        for t in texts:
+            data = None if t is None else t.encode("utf-8", "surrogatepass")
+            self.digests.append(None if data is None else _key(data))
+            self.lengths.append(None if data is None else len(data))
+        self.size += sum(len(t) for t in texts if t)
+
+    def rows(self, chunk: int) -> Iterator[pa.RecordBatch]:
+        words = pa.chunked_array(self.words).unify_dictionaries()
+        distinct = words.chunk(0).dictionary
+        at = np.concatenate([c.indices.to_numpy() for c in words.chunks])
+        # frequent words get small numbers, which take fewer bytes
+        order = np.argsort(-np.bincount(at, minlength=len(distinct)), kind="stable")
+        number = np.empty(len(order), np.int64)
+        number[order] = np.arange(len(order))
+        data, ends = pack_numbers(number[at])
+        cuts = np.cumsum(np.concatenate(self.counts))
+        stop = np.concatenate(([0], ends))[cuts]
+        start = np.concatenate(([0], stop[:-1]))
+        codes = [None if d is None else data[a:b].tobytes() for d, a, b in zip(self.digests, start, stop)]
+        docs = pa.concat_arrays(self.ids)
+        n, m = len(order), len(docs)
+        yield _exploded(chunk, m, docs.type, docs=docs, length=pa.array(self.lengths, pa.int64()), digest=pa.array(self.digests, pa.binary()), codes=pa.array(codes, pa.binary()))
+        distinct = distinct.take(pa.array(order))
+        keys = pa.array([_key(w) for w in distinct.to_pylist()], pa.binary())
+        yield _exploded(chunk, n, docs.type, number=pa.array(np.arange(n, dtype=np.int32)), key=keys, word=distinct)
+
+
+def _exploded(chunk: int, n: int, kind: pa.DataType, number=None, key=None, word=None, docs=None, length=None, digest=None, codes=None) -> pa.RecordBatch:
+    cols = [pa.array(np.full(n, chunk)), *(x if x is not None else pa.nulls(n, k) for x, k in ((number, pa.int32()), (key, pa.binary()), (word, pa.binary()), (docs, kind), (length, pa.int64()), (digest, pa.binary()), (codes, pa.binary())))]
+    return pa.RecordBatch.from_arrays(cols, ["chunk", "number", "key", "word", "doc_id", "length", "digest", "codes"])
+
+
+def _explode(chunk_chars: int):
+    def emit(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk = TaskContext.get().partitionId() << 32
+        held = _Chunk()
+        for b in it:
+            texts = b.column(1).to_pylist()
+            for lo, hi in slices(texts):
+                held.add(b.column(0).slice(lo, hi - lo), texts[lo:hi])
+                if held.size >= chunk_chars:
+                    yield from held.rows(chunk)
+                    chunk, held = chunk + 1, _Chunk()
+        if held.ids:
+            yield from held.rows(chunk)
 
-def _id_type(path: str) -> tuple[str, int]:
-    """The narrowest type for ids that leaves its largest value as a mark."""
-    top = max(vocabulary(path).values())
-    return ("<u2", 0xFFFF) if top < 0xFFFF else ("<u4", 0xFFFFFFFF)
+    return emit
 
 
-def _word_batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in it:
-        texts = b.column(0).to_pylist()
-        for lo, hi in slices(texts):
-            x = Batch(texts[lo:hi])
-            _, first, n = np.unique(x.hashes(), return_index=True, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array([x.token(i) for i in first], pa.binary()), pa.array(n, pa.int64())], ["word", "n"])
+def _key(data: bytes) -> bytes:
+    return blake2b(data, digest_size=16).digest()
 
 
 def _encode_batches(path: str):
-    kind, _ = _id_type(path)
+    """(key, at, id): the ids of each word, by position."""
 
     def encode(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks = vocabulary(path)
+        m = merger(path)
         for b in it:
-            ids = [np.array(merge_word(w, ranks), kind).tobytes() for w in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.binary())], ["word", "n", "ids"])
+            for lo in range(0, b.num_rows, 1024):
+                part = b.slice(lo, 1024)
+                ids, ends = m.merge(part.column(1))
+                size = np.diff(ends, prepend=0)
+                row = np.repeat(np.arange(len(size)), size)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array((np.arange(len(ids)) - np.repeat(ends - size, size)).astype(np.int32)), pa.array(ids.astype(np.int32))], ["key", "at", "id"])
 
     return encode
 
 
-def distinct_words(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
-    """(word, n, ids): every distinct pre-token, its count, its packed ids."""
-    words = docs.select("text").mapInArrow(_word_batches, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    return words.mapInArrow(_encode_batches(path), "word binary, n bigint, ids binary")
+def token_table(spark: SparkSession, path: str = VOCABULARY) -> DataFrame:
+    """(id, hex): the token-byte table; one row per entry of the vocabulary."""
+    return spark.createDataFrame(pa.table({"id": pa.array(vocabulary(path).values(), pa.int32()), "hex": [w.hex() for w in vocabulary(path)]}))
+
+
+def coded_words(words: DataFrame, path: str = VOCABULARY) -> DataFrame:
+    """(key, ids, decoded) of the distinct values of (key, word): each is encoded
+    once, and its ids are decoded by a join with the token-byte table."""
+    ids = words.select("key", "word").distinct().mapInArrow(_encode_batches(path), "key binary, at int, id int")
+    tokens = ids.join(F.broadcast(token_table(words.sparkSession, path)), "id")
+    parts = tokens.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("at", "id", "hex"))).alias("parts"))
+    return parts.select("key", F.col("parts.id").alias("ids"), F.unhex(F.array_join("parts.hex", "")).alias("decoded"))
+
+
+def _assemble(kind: pa.DataType):
+    def assemble(docs: pa.Table, words: pa.Table) -> pa.Table:
+        words = words.sort_by("number")
+        ids, id_ends = _lists(words.column("ids"))
+        texts, text_ends = _lists(words.column("decoded"))
+        same = words.column("same").to_numpy(zero_copy_only=False).astype(bool)
+        if not np.array_equal(words.column("number").to_numpy(), np.arange(len(same))):
+            raise ValueError("a word of a chunk was lost")
+        flat, sizes, ok = [], [], []
+        codes, digests, lengths = (docs.column(c).to_pylist() for c in ("codes", "digest", "length"))
+        for code, digest, length in zip(codes, digests, lengths):
+            if code is None:
+                sizes.append(None)
+                ok.append(None)
+                continue
+            at = unpack_numbers(np.frombuffer(code, np.uint8))
+            own = _gather(ids, id_ends, at)[0]
+            text = _gather(texts, text_ends, at)[0]
+            flat.append(own)
+            sizes.append(len(own))
+            ok.append(bool(same[at].all()) and len(text) == length and _key(text) == digest)
+        ends = np.cumsum([0, *(x or 0 for x in sizes)])
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int32), pa.int32()), mask=pa.array([x is None for x in sizes]))
+        return pa.table({"doc_id": docs.column("doc_id").cast(kind), "ids": lists, "n_tokens": pa.array(sizes, pa.int64()), "round_trip": pa.array(ok, pa.bool_())})
 
+    return assemble
 
-class Hot:
-    """Hash, place and length of the frequent words' ids, sorted by hash."""
 
-    def __init__(self, words: pa.Table, kind: str):
-        ids = words.column("ids").combine_chunks()
-        keys = np.array([hash_bytes(w) for w in words.column("word").to_pylist()], np.uint64)
-        sizes = np.array([len(x) for x in ids.to_pylist()], np.int64) // np.dtype(kind).itemsize
-        starts = np.cumsum(sizes) - sizes
-        self.flat = np.frombuffer(b"".join(ids.to_pylist()), kind)
-        order = np.argsort(keys)
-        self.keys, self.starts, self.sizes = keys[order], starts[order].astype(np.uint32), sizes[order].astype(np.uint32)
+def _lists(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """(all values, end of each row) of a column of lists or byte strings."""
+    a = column.combine_chunks() if column.num_chunks != 1 else column.chunk(0)
+    offsets = np.frombuffer(a.buffers()[1], np.int32)[a.offset : a.offset + len(a) + 1].astype(np.int64) if len(a) else np.zeros(1, np.int64)
+    if pa.types.is_binary(a.type):
+        values = np.frombuffer(a.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    else:
+        values = a.flatten().to_numpy()
+    return values, offsets[1:] - offsets[0]
 
-    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(self.keys):
-            return np.zeros(len(h), np.int64), np.zeros(len(h), bool)
-        at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-        return at, self.keys[at] == h
 
+def encode_documents(docs: DataFrame, path: str = VOCABULARY, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
+    """doc_id, ids, n_tokens, round_trip (the decoded ids are the text)."""
+    docs = docs.select("doc_id", "text")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    schema = f"chunk bigint, number int, key binary, word binary, doc_id {kind}, length bigint, digest binary, codes binary"
+    exploded = materialize(docs.mapInArrow(_explode(chunk_chars), schema), "bpe-exploded")
+    words = exploded.where("word is not null").select("chunk", "number", "key", "word")
+    coded = coded_words(words, path)
+    found = words.join(coded, "key").select("chunk", "number", "ids", "decoded", (F.col("decoded") == F.col("word")).alias("same"))
+    own = exploded.where("word is null").select(F.col("chunk").alias("part"), "doc_id", "length", "digest", "codes")
+    arrow = _arrow_type(docs)
+    return own.groupBy("part").cogroup(found.groupBy("chunk")).applyInArrow(_assemble(arrow), f"doc_id {kind}, ids array<int>, n_tokens bigint, round_trip boolean")
 
-def _text_hashes(x: Batch, texts: list[str | None]) -> np.ndarray:
-    """A hash of each text's bytes, from the batch's prefix sums."""
-    size = np.array([len(t.encode("utf-8", "surrogatepass")) if t else 0 for t in texts], np.int64)
-    start = np.cumsum(size + 1) - size - 1
-    return span_hash(prefix_hash(x.b), start, start + size).view(np.int64)
 
+def _arrow_type(df: DataFrame) -> pa.DataType:
+    from pyspark.sql.pandas.types import to_arrow_type
 
-def _skeletons(hot: Hot, kind: str, hole: int):
-    """(doc_id, key, tokens): packed ids, with a hole for each other word."""
+    return to_arrow_type(df.schema["doc_id"].dataType)
 
-    def emit(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            ids, texts = b.column(0), b.column(1).to_pylist()
-            for lo, hi in slices(texts):
-                part = texts[lo:hi]
-                x = Batch(part)
-                at, hit = hot.find(x.hashes())
-                size = np.where(hit, hot.sizes[at] if len(hot.keys) else 1, 1).astype(np.int64)
-                out = np.full(int(size.sum()), hole, kind)
-                if hit.any():
-                    fill = np.repeat(hit, size)
-                    n = size[hit]
-                    begin = hot.starts[at[hit]].astype(np.int64)
-                    out[fill] = hot.flat[np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-                cuts = np.concatenate(([0], np.cumsum(np.bincount(x.doc, size, hi - lo)))).astype(np.int64)
-                packed = [None if t is None else out[cuts[k] : cuts[k + 1]].tobytes() for k, t in enumerate(part)]
-                yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.array(_text_hashes(x, part)), pa.array(packed, pa.binary())], ["doc_id", "key", "tokens"])
 
-    return emit
+# ---- decoding ------------------------------------------------------------------------
 
 
-def _cold_rows(hot: Hot):
-    """(doc_id, key, hole, word) for each occurrence of a word that isn't hot."""
+def _distinct_ids(chunk_ids: int):
+    """(chunk, id, doc_id, ids): each chunk's distinct ids and its documents."""
 
     def emit(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk = TaskContext.get().partitionId() << 32
+        seen: list[np.ndarray] = []
+        size = 0
         for b in it:
-            ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for lo, hi in slices(texts):
-                part = texts[lo:hi]
-                x = Batch(part)
-                _, hit = hot.find(x.hashes())
-                cold = np.flatnonzero(~hit)
-                doc = x.doc[cold]
-                place = np.arange(len(cold)) - np.searchsorted(doc, doc)
-                key = _text_hashes(x, part)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([ids[lo + d] for d in doc.tolist()], pa.int64()), pa.array(key[doc]), pa.array(place.astype(np.int32)), pa.array([x.token(i) for i in cold], pa.binary())],
-                    ["doc_id", "key", "hole", "word"],
-                )
+            for lo in range(0, b.num_rows, 256):
+                part = b.slice(lo, 256)
+                n = part.num_rows
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, chunk)), pa.nulls(n, pa.int32()), part.column(0), part.column(1)], ["chunk", "id", "doc_id", "ids"])
+                flat = part.column(1).flatten().drop_null().to_numpy()
+                seen.append(np.unique(flat))
+                size += len(flat)
+                if size >= chunk_ids:
+                    yield rows(chunk, seen, part)
+                    chunk, seen, size = chunk + 1, [], 0
+        if seen:
+            yield rows(chunk, seen, part)
+
+    def rows(chunk: int, seen: list[np.ndarray], like: pa.RecordBatch) -> pa.RecordBatch:
+        ids = np.unique(np.concatenate(seen)).astype(np.int32)
+        n = len(ids)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(n, chunk)), pa.array(ids), pa.nulls(n, like.column(0).type), pa.nulls(n, like.column(1).type)], ["chunk", "id", "doc_id", "ids"])
 
     return emit
 
 
-def token_bytes(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The token-byte table: all bytes, and each id's start and length."""
-    ranks = vocabulary(path)
-    size = np.zeros(max(ranks.values()) + 1, np.int64)
-    parts = [b""] * len(size)
-    for word, i in ranks.items():
-        parts[i], size[i] = word, len(word)
-    return np.frombuffer(b"".join(parts), np.uint8), np.cumsum(size) - size, size
-
-
-def decode(ids: np.ndarray, bytes_table: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
-    flat, start, size = bytes_table
-    n = size[ids]
-    return flat[np.repeat(start[ids] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-
-
-def _assemble(path: str, kind: str, hole: int):
-    def assemble(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tb = token_bytes(path)
-        for b in it:
-            lists, counts, same = [], [], []
-            for key, tokens, words in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()):
-                if tokens is None:
-                    lists.append(None)
-                    counts.append(None)
-                    same.append(None)
-                    continue
-                a = np.frombuffer(tokens, kind)
-                gap = a == hole
-                n = int(gap.sum())
-                if n:
-                    parts: list = [None] * n
-                    for x in words:
-                        parts[x["hole"]] = np.frombuffer(x["ids"], kind)
-                    size = np.ones(len(a), np.int64)
-                    size[gap] = [len(p) for p in parts]
-                    a = np.repeat(a, size)
-                    a[np.repeat(gap, size)] = np.concatenate(parts)
-                lists.append(a.astype(np.int32))
-                counts.append(len(a))
-                text = decode(a, tb)
-                same.append(bool(span_hash(prefix_hash(text), np.array([0]), np.array([len(text)])).view(np.int64)[0] == key))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lists, pa.list_(pa.int32())), pa.array(counts, pa.int64()), pa.array(same, pa.bool_())], ["doc_id", "ids", "n_tokens", "round_trip"])
-
-    return assemble
-
-
-def encode_documents(docs: DataFrame, path: str = VOCABULARY, hot_words: int = HOT_WORDS) -> DataFrame:
-    """doc_id, ids, n_tokens, round_trip (the decoded ids are the text)."""
-    docs = docs.select("doc_id", "text")
-    kind, hole = _id_type(path)
-    words = materialize(distinct_words(docs, path), "bpe-words")
-    hot = Hot(words.orderBy(F.desc("n"), "word").limit(hot_words).select("word", "ids").toArrow(), kind)
-    skeletons = docs.mapInArrow(_skeletons(hot, kind, hole), "doc_id bigint, key bigint, tokens binary")
-    cold = docs.mapInArrow(_cold_rows(hot), "doc_id bigint, key bigint, hole int, word binary")
-    found = cold.join(words.select("word", "ids"), "word").groupBy("doc_id", "key").agg(F.collect_list(F.struct("hole", "ids")).alias("words"))
-    found = found.select(F.col("doc_id").alias("i"), F.col("key").alias("k"), "words")
-    whole = skeletons.join(found, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("key") == F.col("k")), "left").select("doc_id", "key", "tokens", "words")
-    return whole.mapInArrow(_assemble(path, kind, hole), "doc_id bigint, ids array<int>, n_tokens bigint, round_trip boolean")
-
-
-def decode_documents(encoded: DataFrame, path: str = VOCABULARY) -> DataFrame:
-    """(doc_id, text) of (doc_id, ids); bytes that are no UTF-8 become U+FFFD."""
-
-    def emit(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tb = token_bytes(path)
-        for b in it:
-            out = [None if x is None else decode(np.array(x, np.int64), tb).tobytes().decode("utf-8", "replace") for x in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], ["doc_id", "text"])
-
-    return encoded.select("doc_id", "ids").mapInArrow(emit, "doc_id bigint, text string")
+def _decode_chunk(kind: pa.DataType):
+    def decode(docs: pa.Table, tokens: pa.Table) -> pa.Table:
+        tokens = tokens.sort_by("id")
+        keys = tokens.column("id").to_numpy()
+        known = tokens.column("bytes").is_valid().to_numpy()
+        flat, ends = _lists(tokens.column("bytes"))
+        out: list[str | None] = []
+        for ids in docs.column("ids").to_pylist():
+            if ids is None or None in ids:
+                out.append(None)
+                continue
+            at = np.searchsorted(keys, np.array(ids, np.int64))
+            out.append(_gather(flat, ends, at)[0].tobytes().decode("utf-8", "replace") if known[at].all() else None)
+        return pa.table({"doc_id": docs.column("doc_id").cast(kind), "text": pa.array(out, pa.string())})
+
+    return decode
+
+
+def decode_documents(encoded: DataFrame, path: str = VOCABULARY, chunk_ids: int = 1 << 23) -> DataFrame:
+    """(doc_id, text) of (doc_id, ids), by a join of each chunk's distinct ids with
+    the token-byte table; bytes that are no UTF-8 become U+FFFD; null ids, or an id
+    that is null or not in the vocabulary, give a null text."""
+    encoded = encoded.select("doc_id", F.col("ids").cast("array<int>").alias("ids"))
+    kind = encoded.schema["doc_id"].dataType.simpleString()
+    split = materialize(encoded.mapInArrow(_distinct_ids(chunk_ids), f"chunk bigint, id int, doc_id {kind}, ids array<int>"), "bpe-decode")
+    tokens = split.where("id is not null").select("chunk", "id").join(F.broadcast(token_table(encoded.sparkSession, path)), "id", "left")
+    docs = split.where("id is null").select(F.col("chunk").alias("part"), "doc_id", "ids")
+    return docs.groupBy("part").cogroup(tokens.select("chunk", "id", F.unhex("hex").alias("bytes")).groupBy("chunk")).applyInArrow(_decode_chunk(_arrow_type(encoded)), f"doc_id {kind}, text string")
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ from functools import lru_cache
 
 import numpy as np
 
-from bitloom.llm.textops import prefix_hash, span_hash
+import pyarrow as pa
 
 LETTER, NUMBER, SPACE, OTHER, END = range(5)
 _SPACES = {*range(9, 14), 0x1C, 0x1D, 0x1E, 0x1F, 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000} - {0x1C, 0x1D, 0x1E, 0x1F}
@@ -84,6 +84,8 @@ class Batch:
         width = 1 + (cps >= 0x80).astype(np.int64) + (cps >= 0x800) + (cps >= 0x10000)
         byte = np.concatenate(([0], np.cumsum(width)))
         self.s, self.e = byte[at], byte[e]
+        self.marks = byte[ends]
+        self.plain = self.data.count(b"\0") == len(texts)
         self.doc = np.searchsorted(ends, at)
         self.n_texts = len(texts)
 
@@ -103,11 +105,18 @@ class Batch:
             end = end[end < n]
             start[end] = True
 
-    def hashes(self) -> np.ndarray:
-        return span_hash(prefix_hash(self.b), self.s, self.e)
+    def words(self) -> pa.DictionaryArray:
+        """The pre-tokens as indices into their distinct values, found by
+        comparing bytes."""
+        # pre-tokens cover their texts, so without the marks they are contiguous
+        data = pa.py_buffer(self.data.replace(b"\0", b"")) if self.plain else pa.py_buffer(self.b[self.unmarked()].tobytes())
+        offsets = np.append(self.s - self.doc, len(data)).astype(np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(self.s), [None, pa.py_buffer(offsets), data]).dictionary_encode()
 
-    def token(self, i: int) -> bytes:
-        return self.data[self.s[i] : self.e[i]]
+    def unmarked(self) -> np.ndarray:
+        keep = np.ones(len(self.b), bool)
+        keep[self.marks] = False
+        return keep
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -168,3 +177,93 @@ def _merge_long(parts: list[bytes], ranks: dict[bytes, int]) -> list[int]:
         if prv[i] >= 0:
             push(prv[i])
     return [ranks[parts[i]] for i in range(n) if alive[i]]
+
+
+class Merger:
+    """The merge rules over many pre-tokens at once, with arrays.
+
+    Every way to cut a vocabulary string into two others is one entry of a hash
+    table from a pair of ids to the id of the whole, so one round looks up the
+    pairs of all words together and merges each word's lowest, leftmost one.
+    """
+
+    _NONE = np.int64(1 << 40)
+    _LONG = 64
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.ranks = ranks
+        self.byte = np.array([ranks[bytes([i])] for i in range(256)], np.int64)
+        pairs = [(ranks[w[:i]] << 20 | ranks[w[i:]], r) for w, r in ranks.items() for i in range(1, len(w)) if w[:i] in ranks and w[i:] in ranks]
+        keys, values = np.array([p[0] for p in pairs], np.int64), np.array([p[1] for p in pairs], np.int64)
+        self.bits = max(8, int(np.ceil(np.log2(4 * len(pairs) + 1))))
+        self.keys, self.values = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, self._NONE, np.int64)
+        at, left = self._slot(keys), np.arange(len(keys))
+        while len(left):  # one key settles in each free slot, the others move on
+            free = self.keys[at[left]] == -1
+            self.keys[at[left[free]]] = keys[left[free]]
+            settled = self.keys[at[left]] == keys[left]
+            self.values[at[left[settled]]] = values[left[settled]]
+            left = left[~settled]
+            at[left] = (at[left] + 1) & ((1 << self.bits) - 1)
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return ((key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def _pair(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The id that each pair merges into, or _NONE."""
+        key = a << 20 | b
+        at = self._slot(key)
+        found = self.keys[at]
+        out = np.where(found == key, self.values[at], self._NONE)
+        left = np.flatnonzero((found != key) & (found != -1))
+        while len(left):
+            at[left] = (at[left] + 1) & ((1 << self.bits) - 1)
+            found = self.keys[at[left]]
+            hit = found == key[left]
+            out[left[hit]] = self.values[at[left[hit]]]
+            left = left[~hit & (found != -1)]
+        return out
+
+    def merge(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words, end of each word's ids)."""
+        n = len(words)
+        offsets = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + n + 1].astype(np.int64)
+        data = np.frombuffer(words.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+        size = np.diff(offsets)
+        word = np.repeat(np.arange(n), size)
+        ids = self.byte[data]
+        done: list[tuple[np.ndarray, np.ndarray]] = []
+        if (size > self._LONG).any():
+            for i in np.flatnonzero(size > self._LONG).tolist():
+                own = np.array(merge_word(words[i].as_py(), self.ranks), np.int64)
+                done.append((np.full(len(own), i), own))
+            short = size[word] <= self._LONG
+            word, ids = word[short], ids[short]
+        rank = np.full(len(ids), self._NONE, np.int64)
+        if len(ids) > 1:
+            rank[:-1] = np.where(word[1:] == word[:-1], self._pair(ids[:-1], ids[1:]), self._NONE)
+        while len(ids):
+            starts = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
+            least = np.minimum.reduceat(rank, starts)
+            length = np.diff(np.append(starts, len(ids)))
+            if (over := least == self._NONE).any():
+                gone = np.repeat(over, length)
+                done.append((word[gone], ids[gone]))
+                word, ids, rank = word[~gone], ids[~gone], rank[~gone]
+                least, length = least[~over], length[~over]
+                if not len(ids):
+                    break
+            at = np.flatnonzero(rank == np.repeat(least, length))
+            at = at[np.concatenate(([True], word[at[1:]] != word[at[:-1]]))]
+            ids[at] = rank[at]
+            keep = np.ones(len(ids), bool)
+            keep[at + 1] = False
+            at -= np.arange(len(at))  # places after the removal: one entry left each earlier word
+            word, ids, rank = word[keep], ids[keep], rank[keep]
+            for p in (at, at[at > 0] - 1):
+                q = np.minimum(p + 1, len(ids) - 1)
+                rank[p] = np.where((q > p) & (word[q] == word[p]), self._pair(ids[p], ids[q]), self._NONE)
+        if not done:
+            return np.zeros(0, np.int64), np.zeros(n, np.int64)
+        word, ids = (np.concatenate(x) for x in zip(*done))
+        return ids[np.argsort(word, kind="stable")], np.cumsum(np.bincount(word, minlength=n))
