@@ -3,21 +3,21 @@
 Encoding:
 
 1. Explode: one scan splits every text into pre-tokens. A chunk (consecutive
-   documents of about ``chunk_chars`` characters) yields each of its distinct words
-   once, with a number, and each of its documents as the numbers by position.
-2. The distinct words of the whole corpus are gathered by one shuffle and each is
-   encoded once.
-3. Decode: the words' ids are exploded by position and joined with the token-byte
-   table, which has the size of the vocabulary and may thus be broadcast.
-4. Ids and decoded bytes are joined back by word, and each chunk's documents are
-   reassembled by position.
+   documents of about ``chunk_chars`` characters) numbers its distinct words, the
+   frequent ones first; its documents become the numbers by position.
+2. The distinct words of all chunks are shuffled by word, to as many buckets as
+   there are chunks' worth of text. A bucket encodes each distinct word of the corpus
+   once and gives the ids back to every chunk that has the word.
+3. Each chunk's ids meet its documents, which are reassembled by position.
 
 Numbering words within a chunk is the aggregation before the shuffle: a word that
-is a third of all pre-tokens is one row per chunk. Within a chunk words are told
-apart by their bytes; the joins use a 128-bit BLAKE2b key, since a word can be very
-long, and each hit's bytes are then compared with the word's. ``round_trip`` says
-whether every word of the text decodes to its own bytes and the whole decoded text
-has the length and the BLAKE2b digest of the text's bytes.
+is a third of all pre-tokens is one entry per chunk. What is shuffled is packed:
+a bucket's words of a chunk are sorted, front-coded and compressed. Words are told
+apart by their bytes, never by a hash. ``round_trip`` says whether the ids decode
+to a text of the same length and BLAKE2b digest (128 bits) as the text's bytes.
+
+Decoding joins ids with the token-byte table, which has the size of the vocabulary
+and may thus be broadcast; each chunk of documents sends every id once.
 
 Defined results: null text has null ids and a null round trip; empty text has no
 ids; texts and words of any length are encoded whole; repeated rows each get their
@@ -29,9 +29,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from hashlib import blake2b
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,7 +42,8 @@ from bitloom.llm.pretokens import Batch
 from bitloom.llm.tokens import VOCABULARY, merger, slices, vocabulary
 from bitloom.session import materialize, table
 
-#: Characters of a chunk; it bounds a task's memory and changes no result.
+#: Characters of a chunk, and of the text that a bucket of words stands for; it
+#: bounds a task's memory and changes no result.
 CHUNK_CHARS = 1 << 25
 
 
@@ -72,56 +75,113 @@ def _gather(flat: np.ndarray, ends: np.ndarray, at: np.ndarray) -> tuple[np.ndar
     return flat[np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())], n
 
 
+def _squeeze(*parts: np.ndarray) -> bytes:
+    """Arrays of bytes as one compressed value."""
+    data = b"".join(np.uint32(len(p)).tobytes() + p.tobytes() for p in parts)
+    return np.uint32(len(data)).tobytes() + pa.compress(data, "zstd", asbytes=True)
+
+
+def _unsqueeze(value: bytes) -> list[np.ndarray]:
+    size = int(np.frombuffer(value, np.uint32, 1)[0])
+    data = np.frombuffer(pa.decompress(value[4:], size, "zstd"), np.uint8)
+    out, at = [], 0
+    while at < size:
+        n = int(data[at : at + 4].view(np.uint32)[0])
+        out.append(data[at + 4 : at + 4 + n])
+        at += 4 + n
+    return out
+
+
+def pack_words(words: pa.Array) -> list[np.ndarray]:
+    """Sorted words, front-coded: shared lengths, lengths of the rests, the rests."""
+    data, ends = _values(words)
+    size = np.diff(ends, prepend=0)
+    start = ends - size
+    shared = np.zeros(len(size), np.int64)
+    same = np.arange(1, len(size))
+    for k in range(31):  # a prefix beyond is kept with the rest
+        same = same[np.minimum(size[same], size[same - 1]) > k]
+        same = same[data[start[same] + k] == data[start[same - 1] + k]]
+        if not len(same):
+            break
+        shared[same] = k + 1
+    rest = size - shared
+    flat = data[np.repeat(start + shared - (np.cumsum(rest) - rest), rest) + np.arange(rest.sum())]
+    return [shared.astype(np.uint8), pack_numbers(rest)[0], flat]
+
+
+def unpack_words(shared: np.ndarray, rests: np.ndarray, flat: np.ndarray) -> pa.Array:
+    shared, rest = shared.astype(np.int64), unpack_numbers(rests)
+    size = shared + rest
+    start = np.cumsum(size) - size
+    out = np.zeros(int(size.sum()), np.uint8)
+    out[np.repeat(start + shared - (np.cumsum(rest) - rest), rest) + np.arange(rest.sum())] = flat
+    for k in range(int(shared.max()) if len(shared) else 0):  # byte k comes from the last word that has its own
+        owner = np.maximum.accumulate(np.where(shared <= k, np.arange(len(size)), 0))
+        taken = shared > k
+        out[start[taken] + k] = out[start[owner[taken]] + k]
+    offsets = np.append(start, len(out)).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(out)])
+
+
+def _values(a: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(all bytes, end of each value) of an array of byte strings without nulls."""
+    if not len(a):
+        return np.zeros(0, np.uint8), np.zeros(0, np.int64)
+    offsets = np.frombuffer(a.buffers()[1], np.int32)[a.offset : a.offset + len(a) + 1].astype(np.int64)
+    return np.frombuffer(a.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]], offsets[1:] - offsets[0]
+
+
 # ---- encoding ------------------------------------------------------------------------
 
 
+def _key(data: bytes) -> bytes:
+    return blake2b(data, digest_size=16).digest()
+
+
 class _Chunk:
     def __init__(self) -> None:
-        self.ids: list[pa.Array] = []
+        self.docs: list[tuple] = []
         self.words: list[pa.DictionaryArray] = []
-        self.counts: list[np.ndarray] = []
-        self.digests: list[bytes | None] = []
-        self.lengths: list[int | None] = []
         self.size = 0
 
     def add(self, ids: pa.Array, texts: list[str | None]) -> None:
         x = Batch(texts)
-        self.ids.append(ids)
         self.words.append(x.words())
-        self.counts.append(np.bincount(x.doc, minlength=len(texts)))
-        for t in texts:
-            data = None if t is None else t.encode("utf-8", "surrogatepass")
-            self.digests.append(None if data is None else _key(data))
-            self.lengths.append(None if data is None else len(data))
+        data = [b"" if t is None else t.encode("utf-8", "surrogatepass") for t in texts]
+        lengths = [None if t is None else len(d) for t, d in zip(texts, data)]
+        self.docs.append((ids, lengths, b"".join(map(_key, data)), np.bincount(x.doc, minlength=len(texts))))
         self.size += sum(len(t) for t in texts if t)
 
-    def rows(self, chunk: int) -> Iterator[pa.RecordBatch]:
+    def rows(self, chunk: int, buckets: int) -> Iterator[pa.RecordBatch]:
         words = pa.chunked_array(self.words).unify_dictionaries()
         distinct = words.chunk(0).dictionary
-        at = np.concatenate([c.indices.to_numpy() for c in words.chunks])
+        seen = sum(np.bincount(c.indices.to_numpy(), minlength=len(distinct)) for c in words.chunks)
         # frequent words get small numbers, which take fewer bytes
-        order = np.argsort(-np.bincount(at, minlength=len(distinct)), kind="stable")
+        order = np.argsort(-seen, kind="stable")
         number = np.empty(len(order), np.int64)
         number[order] = np.arange(len(order))
-        data, ends = pack_numbers(number[at])
-        cuts = np.cumsum(np.concatenate(self.counts))
-        stop = np.concatenate(([0], ends))[cuts]
-        start = np.concatenate(([0], stop[:-1]))
-        codes = [None if d is None else data[a:b].tobytes() for d, a, b in zip(self.digests, start, stop)]
-        docs = pa.concat_arrays(self.ids)
-        n, m = len(order), len(docs)
-        yield _exploded(chunk, m, docs.type, docs=docs, length=pa.array(self.lengths, pa.int64()), digest=pa.array(self.digests, pa.binary()), codes=pa.array(codes, pa.binary()))
-        distinct = distinct.take(pa.array(order))
-        keys = pa.array([_key(w) for w in distinct.to_pylist()], pa.binary())
-        yield _exploded(chunk, n, docs.type, number=pa.array(np.arange(n, dtype=np.int32)), key=keys, word=distinct)
-
-
-def _exploded(chunk: int, n: int, kind: pa.DataType, number=None, key=None, word=None, docs=None, length=None, digest=None, codes=None) -> pa.RecordBatch:
-    cols = [pa.array(np.full(n, chunk)), *(x if x is not None else pa.nulls(n, k) for x, k in ((number, pa.int32()), (key, pa.binary()), (word, pa.binary()), (docs, kind), (length, pa.int64()), (digest, pa.binary()), (codes, pa.binary())))]
-    return pa.RecordBatch.from_arrays(cols, ["chunk", "number", "key", "word", "doc_id", "length", "digest", "codes"])
-
-
-def _explode(chunk_chars: int):
+        kind = self.docs[0][0].type
+        for part, (ids, lengths, digests, counts) in zip(words.chunks, self.docs):
+            codes = _squeeze(pack_numbers(number[part.indices.to_numpy()])[0])
+            yield _exploded(chunk, kind, docs=ids, lengths=lengths, digests=digests, counts=counts.tolist(), codes=codes)
+        bucket = np.fromiter(map(crc32, distinct.to_pylist()), np.int64, len(distinct)) % buckets
+        by_word = pc.sort_indices(distinct).to_numpy().astype(np.int64)
+        by_bucket = by_word[np.argsort(bucket[by_word], kind="stable")]
+        ends = np.cumsum(np.bincount(bucket, minlength=buckets))
+        for k in range(buckets):
+            own = by_bucket[ends[k - 1] if k else 0 : ends[k]]
+            if len(own):
+                yield _exploded(chunk, kind, bucket=k, codes=_squeeze(pack_numbers(number[own])[0]), words=_squeeze(*pack_words(distinct.take(pa.array(own)))))
+
+
+def _exploded(chunk: int, kind: pa.DataType, bucket=None, docs=None, lengths=None, digests=None, counts=None, codes=None, words=None) -> pa.RecordBatch:
+    ids = pa.nulls(1, pa.list_(kind)) if docs is None else pa.ListArray.from_arrays(pa.array([0, len(docs)], pa.int32()), docs)
+    cols = [pa.array([chunk]), pa.array([bucket], pa.int32()), ids, pa.array([lengths], pa.list_(pa.int64())), pa.array([digests], pa.binary()), pa.array([counts], pa.list_(pa.int64())), pa.array([codes], pa.binary()), pa.array([words], pa.binary())]
+    return pa.RecordBatch.from_arrays(cols, ["chunk", "bucket", "docs", "lengths", "digests", "counts", "codes", "words"])
+
+
+def _explode(chunk_chars: int, buckets: int):
     def emit(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk = TaskContext.get().partitionId() << 32
         held = _Chunk()
@@ -130,99 +190,95 @@ def _explode(chunk_chars: int):
             for lo, hi in slices(texts):
                 held.add(b.column(0).slice(lo, hi - lo), texts[lo:hi])
                 if held.size >= chunk_chars:
-                    yield from held.rows(chunk)
+                    yield from held.rows(chunk, buckets)
                     chunk, held = chunk + 1, _Chunk()
-        if held.ids:
-            yield from held.rows(chunk)
+        if held.docs:
+            yield from held.rows(chunk, buckets)
 
     return emit
 
 
-def _key(data: bytes) -> bytes:
-    return blake2b(data, digest_size=16).digest()
-
-
-def _encode_batches(path: str):
-    """(key, at, id): the ids of each word, by position."""
+def _encode_bucket(path: str):
+    """Each distinct word of a bucket is encoded once; every chunk gets the ids of its
+    own words, in the order of its words."""
+    kind = np.uint16 if max(vocabulary(path).values()) < 1 << 16 else np.uint32
 
-    def encode(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def encode(t: pa.Table) -> pa.Table:
         m = merger(path)
-        for b in it:
-            for lo in range(0, b.num_rows, 1024):
-                part = b.slice(lo, 1024)
-                ids, ends = m.merge(part.column(1))
-                size = np.diff(ends, prepend=0)
-                row = np.repeat(np.arange(len(size)), size)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array((np.arange(len(ids)) - np.repeat(ends - size, size)).astype(np.int32)), pa.array(ids.astype(np.int32))], ["key", "at", "id"])
+        parts = [unpack_words(*_unsqueeze(x)) for x in t.column("words").to_pylist()]
+        words = pa.chunked_array([p.dictionary_encode() for p in parts], pa.dictionary(pa.int32(), pa.binary())).unify_dictionaries()
+        distinct = words.chunk(0).dictionary if parts else pa.array([], pa.binary())
+        flat, sizes = [], []
+        for lo in range(0, len(distinct), 1 << 15):
+            ids, ends = m.merge(distinct.slice(lo, 1 << 15))
+            flat.append(ids.astype(kind))
+            sizes.append(np.diff(ends, prepend=0))
+        flat, ends = (np.concatenate(flat), np.cumsum(np.concatenate(sizes))) if flat else (np.zeros(0, kind), np.zeros(0, np.int64))
+        out = []
+        for part in words.chunks:
+            ids, n = _gather(flat, ends, part.indices.to_numpy())
+            # the bytes of all ids by significance
+            out.append(_squeeze(pack_numbers(n)[0], ids.view(np.uint8).reshape(len(ids), -1).T.ravel()))
+        return pa.table({"chunk": t.column("chunk"), "codes": t.column("codes"), "ids": pa.array(out, pa.binary())})
 
     return encode
 
 
-def token_table(spark: SparkSession, path: str = VOCABULARY) -> DataFrame:
-    """(id, hex): the token-byte table; one row per entry of the vocabulary."""
-    return spark.createDataFrame(pa.table({"id": pa.array(vocabulary(path).values(), pa.int32()), "hex": [w.hex() for w in vocabulary(path)]}))
-
+def token_bytes(path: str) -> tuple[np.ndarray, np.ndarray]:
+    """The token-byte table as all bytes and the end of each id's."""
+    ranks = vocabulary(path)
+    parts = [b""] * (max(ranks.values()) + 1)
+    for word, i in ranks.items():
+        parts[i] = word
+    return np.frombuffer(b"".join(parts), np.uint8), np.cumsum([len(p) for p in parts])
 
-def coded_words(words: DataFrame, path: str = VOCABULARY) -> DataFrame:
-    """(key, ids, decoded) of the distinct values of (key, word): each is encoded
-    once, and its ids are decoded by a join with the token-byte table."""
-    ids = words.select("key", "word").distinct().mapInArrow(_encode_batches(path), "key binary, at int, id int")
-    tokens = ids.join(F.broadcast(token_table(words.sparkSession, path)), "id")
-    parts = tokens.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("at", "id", "hex"))).alias("parts"))
-    return parts.select("key", F.col("parts.id").alias("ids"), F.unhex(F.array_join("parts.hex", "")).alias("decoded"))
 
+def _assemble(kind: pa.DataType, path: str):
+    width = 2 if max(vocabulary(path).values()) < 1 << 16 else 4
 
-def _assemble(kind: pa.DataType):
     def assemble(docs: pa.Table, words: pa.Table) -> pa.Table:
-        words = words.sort_by("number")
-        ids, id_ends = _lists(words.column("ids"))
-        texts, text_ends = _lists(words.column("decoded"))
-        same = words.column("same").to_numpy(zero_copy_only=False).astype(bool)
-        if not np.array_equal(words.column("number").to_numpy(), np.arange(len(same))):
+        numbers, counts, values = [], [], []
+        for code, ids in zip(words.column("codes").to_pylist(), words.column("ids").to_pylist()):
+            numbers.append(unpack_numbers(_unsqueeze(code)[0]))
+            n, planes = _unsqueeze(ids)
+            counts.append(unpack_numbers(n))
+            values.append(np.ascontiguousarray(planes.reshape(width, -1).T).view(np.uint16 if width == 2 else np.uint32).ravel())
+        order = np.argsort(np.concatenate(numbers)) if numbers else np.zeros(0, np.int64)
+        if numbers and not np.array_equal(np.concatenate(numbers)[order], np.arange(len(order))):
             raise ValueError("a word of a chunk was lost")
-        flat, sizes, ok = [], [], []
-        codes, digests, lengths = (docs.column(c).to_pylist() for c in ("codes", "digest", "length"))
-        for code, digest, length in zip(codes, digests, lengths):
-            if code is None:
-                sizes.append(None)
-                ok.append(None)
-                continue
-            at = unpack_numbers(np.frombuffer(code, np.uint8))
-            own = _gather(ids, id_ends, at)[0]
-            text = _gather(texts, text_ends, at)[0]
-            flat.append(own)
-            sizes.append(len(own))
-            ok.append(bool(same[at].all()) and len(text) == length and _key(text) == digest)
+        flat, ends = (np.concatenate(values), np.cumsum(np.concatenate(counts))) if numbers else (np.zeros(0, np.uint16), np.zeros(0, np.int64))
+        table_bytes, table_ends = token_bytes(path)
+        out, sizes, ok = [], [], []
+        for lengths, digests, n, code in zip(*(docs.column(c).to_pylist() for c in ("lengths", "digests", "counts", "codes"))):
+            at = unpack_numbers(_unsqueeze(code)[0]) if any(n) else np.zeros(0, np.int64)
+            ids, size = _gather(flat, ends, order[at])
+            out.append(ids.astype(np.int32))
+            stop = np.concatenate(([0], np.cumsum(size)))[np.cumsum(n)]
+            text, token_size = _gather(table_bytes, table_ends, out[-1])
+            text_stop = np.concatenate(([0], np.cumsum(token_size)))[stop]
+            data = text.tobytes()
+            for k, (length, a, b, p, q) in enumerate(zip(lengths, [0, *stop[:-1]], stop, [0, *text_stop[:-1]], text_stop)):
+                sizes.append(None if length is None else int(b - a))
+                ok.append(None if length is None else q - p == length and _key(data[p:q]) == digests[16 * k : 16 * k + 16])
         ends = np.cumsum([0, *(x or 0 for x in sizes)])
-        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int32), pa.int32()), mask=pa.array([x is None for x in sizes]))
-        return pa.table({"doc_id": docs.column("doc_id").cast(kind), "ids": lists, "n_tokens": pa.array(sizes, pa.int64()), "round_trip": pa.array(ok, pa.bool_())})
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(out) if out else [], pa.int32()), mask=pa.array([x is None for x in sizes], pa.bool_()))
+        return pa.table({"doc_id": docs.column("docs").combine_chunks().flatten().cast(kind), "ids": lists, "n_tokens": pa.array(sizes, pa.int64()), "round_trip": pa.array([x if x is None else bool(x) for x in ok], pa.bool_())})
 
     return assemble
 
 
-def _lists(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    """(all values, end of each row) of a column of lists or byte strings."""
-    a = column.combine_chunks() if column.num_chunks != 1 else column.chunk(0)
-    offsets = np.frombuffer(a.buffers()[1], np.int32)[a.offset : a.offset + len(a) + 1].astype(np.int64) if len(a) else np.zeros(1, np.int64)
-    if pa.types.is_binary(a.type):
-        values = np.frombuffer(a.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
-    else:
-        values = a.flatten().to_numpy()
-    return values, offsets[1:] - offsets[0]
-
-
 def encode_documents(docs: DataFrame, path: str = VOCABULARY, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
     """doc_id, ids, n_tokens, round_trip (the decoded ids are the text)."""
     docs = docs.select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"chunk bigint, number int, key binary, word binary, doc_id {kind}, length bigint, digest binary, codes binary"
-    exploded = materialize(docs.mapInArrow(_explode(chunk_chars), schema), "bpe-exploded")
-    words = exploded.where("word is not null").select("chunk", "number", "key", "word")
-    coded = coded_words(words, path)
-    found = words.join(coded, "key").select("chunk", "number", "ids", "decoded", (F.col("decoded") == F.col("word")).alias("same"))
-    own = exploded.where("word is null").select(F.col("chunk").alias("part"), "doc_id", "length", "digest", "codes")
-    arrow = _arrow_type(docs)
-    return own.groupBy("part").cogroup(found.groupBy("chunk")).applyInArrow(_assemble(arrow), f"doc_id {kind}, ids array<int>, n_tokens bigint, round_trip boolean")
+    total = docs.agg(F.coalesce(F.sum(F.length("text").cast("bigint")), F.lit(0))).first()[0]
+    buckets = 1 + total // chunk_chars
+    schema = f"chunk bigint, bucket int, docs array<{kind}>, lengths array<bigint>, digests binary, counts array<bigint>, codes binary, words binary"
+    exploded = materialize(docs.mapInArrow(_explode(chunk_chars, buckets), schema), "bpe-exploded")
+    words = exploded.where("bucket is not null").select("chunk", "bucket", "codes", "words")
+    found = words.groupBy("bucket").applyInArrow(_encode_bucket(path), "chunk bigint, codes binary, ids binary")
+    own = exploded.where("bucket is null").select(F.col("chunk").alias("part"), "docs", "lengths", "digests", "counts", "codes")
+    return own.groupBy("part").cogroup(found.groupBy("chunk")).applyInArrow(_assemble(_arrow_type(docs), path), f"doc_id {kind}, ids array<int>, n_tokens bigint, round_trip boolean")
 
 
 def _arrow_type(df: DataFrame) -> pa.DataType:
@@ -234,6 +290,12 @@ def _arrow_type(df: DataFrame) -> pa.DataType:
 # ---- decoding ------------------------------------------------------------------------
 
 
+def token_table(spark: SparkSession, path: str = VOCABULARY) -> DataFrame:
+    """(id, bytes): the token-byte table; one row per entry of the vocabulary."""
+    ranks = vocabulary(path)
+    return spark.createDataFrame(pa.table({"id": pa.array(ranks.values(), pa.int32()), "bytes": pa.array(ranks.keys(), pa.binary())}))
+
+
 def _distinct_ids(chunk_ids: int):
     """(chunk, id, doc_id, ids): each chunk's distinct ids and its documents."""
 
@@ -268,7 +330,7 @@ def _decode_chunk(kind: pa.DataType):
         tokens = tokens.sort_by("id")
         keys = tokens.column("id").to_numpy()
         known = tokens.column("bytes").is_valid().to_numpy()
-        flat, ends = _lists(tokens.column("bytes"))
+        flat, ends = _values(tokens.column("bytes").combine_chunks().fill_null(b""))
         out: list[str | None] = []
         for ids in docs.column("ids").to_pylist():
             if ids is None or None in ids:
@@ -290,12 +352,16 @@ def decode_documents(encoded: DataFrame, path: str = VOCABULARY, chunk_ids: int
     split = materialize(encoded.mapInArrow(_distinct_ids(chunk_ids), f"chunk bigint, id int, doc_id {kind}, ids array<int>"), "bpe-decode")
     tokens = split.where("id is not null").select("chunk", "id").join(F.broadcast(token_table(encoded.sparkSession, path)), "id", "left")
     docs = split.where("id is null").select(F.col("chunk").alias("part"), "doc_id", "ids")
-    return docs.groupBy("part").cogroup(tokens.select("chunk", "id", F.unhex("hex").alias("bytes")).groupBy("chunk")).applyInArrow(_decode_chunk(_arrow_type(encoded)), f"doc_id {kind}, text string")
+    return docs.groupBy("part").cogroup(tokens.groupBy("chunk")).applyInArrow(_decode_chunk(_arrow_type(encoded)), f"doc_id {kind}, text string")
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op8_bpe": op8_bpe}
-SQL: dict[str, str] = {}
+def bpe_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decode_documents(encode_documents(table(spark, sf_dir, "documents")))
+
+
+QUERIES = {"op8_bpe": op8_bpe, "bpe_decode": bpe_decode}
+SQL = {"bpe_decode": "select doc_id, text from documents"}

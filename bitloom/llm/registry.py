@@ -1,22 +1,17 @@
-"""Queries and SQL of this subpackage."""
+"""Queries and SQL of this subpackage.
 
-from __future__ import annotations
-
-import importlib
+All modules are imported here at once: where one can't be, neither can this."""
 
-MODULES = ("topk", "quality", "packing", "toxicity", "simhash", "suffix", "urls", "bpe", "html", "tokens")
+from __future__ import annotations
 
+from bitloom.llm import bpe, html, packing, quality, simhash, suffix, tokens, topk, toxicity, urls
 
-def _gather(what: str) -> dict:
-    out: dict = {}
-    for m in MODULES:
-        out |= getattr(importlib.import_module(f"bitloom.llm.{m}"), what)
-    return out
+MODULES = (topk, quality, packing, toxicity, simhash, suffix, urls, bpe, html, tokens)
 
 
 def queries() -> dict:
-    return _gather("QUERIES")
+    return {k: f for m in MODULES for k, f in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict:
-    return _gather("SQL")
+    return {k: f for m in MODULES for k, f in m.SQL.items()}

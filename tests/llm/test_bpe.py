@@ -77,3 +77,13 @@ def test_merging_many_words_at_once():
     for word, end in zip(words, ends.tolist()):
         assert ids[start:end].tolist() == merge_word(word, ranks)
         start = end
+
+
+def test_front_coded_words():
+    import numpy as np
+    import pyarrow as pa
+
+    words = sorted({b"", b"a", b"ab", b"abc\0", b"abd", b"x" * 40 + b"1", b"x" * 40 + b"2", "ö".encode()} | {bytes([97 + k % 3] * (k % 37)) + bytes([k]) for k in range(200)})
+    assert bpe.unpack_words(*bpe.pack_words(pa.array(words, pa.binary()))).to_pylist() == words
+    v = np.array([0, 127, 128, 16383, 16384, 1 << 21, (1 << 28) + 5])
+    assert bpe.unpack_numbers(bpe.pack_numbers(v)[0]).tolist() == v.tolist()
