@@ -4,7 +4,7 @@ Encoding:
 
 1. Explode: one scan splits every text into pre-tokens. A chunk (consecutive
    documents of about ``chunk_chars`` characters) numbers its distinct words, the
-   frequent ones first; its documents become the numbers by position.
+   most frequent ones first; its documents become the numbers by position.
 2. The distinct words of all chunks are shuffled by word, to as many buckets as
    there are chunks' worth of text. A bucket encodes each distinct word of the corpus
    once and gives the ids back to every chunk that has the word.
@@ -44,7 +44,7 @@ from bitloom.session import materialize, table
 
 #: Characters of a chunk, and of the text that a bucket of words stands for; it
 #: bounds a task's memory and changes no result.
-CHUNK_CHARS = 1 << 25
+CHUNK_CHARS = 1 << 24
 
 
 def pack_numbers(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -139,6 +139,22 @@ def _key(data: bytes) -> bytes:
     return blake2b(data, digest_size=16).digest()
 
 
+#: Numbers below take two bytes at most.
+_SHORT = 1 << 14
+
+
+def _numbers(codes: bytes, n: int) -> np.ndarray:
+    """The numbers of a bucket's n words of a chunk."""
+    base, steps, ranks = map(unpack_numbers, _unsqueeze(codes))
+    out = np.zeros(n, np.int64)
+    place = np.cumsum(steps)
+    rare = np.ones(n, bool)
+    rare[place] = False
+    out[place] = ranks
+    out[rare] = (base[0] if len(base) else 0) + np.arange(rare.sum())
+    return out
+
+
 class _Chunk:
     def __init__(self) -> None:
         self.docs: list[tuple] = []
@@ -157,22 +173,29 @@ class _Chunk:
         words = pa.chunked_array(self.words).unify_dictionaries()
         distinct = words.chunk(0).dictionary
         seen = sum(np.bincount(c.indices.to_numpy(), minlength=len(distinct)) for c in words.chunks)
-        # frequent words get small numbers, which take fewer bytes
-        order = np.argsort(-seen, kind="stable")
-        number = np.empty(len(order), np.int64)
-        number[order] = np.arange(len(order))
+        bucket = np.fromiter(map(crc32, distinct.to_pylist()), np.int64, len(distinct)) % buckets
+        by_word = pc.sort_indices(distinct).to_numpy().astype(np.int64)
+        by_bucket = by_word[np.argsort(bucket[by_word], kind="stable")]
+        # frequent words get small numbers, which take fewer bytes; the others go by place
+        hot = np.argsort(-seen, kind="stable")[:_SHORT]
+        rank = np.full(len(distinct), -1)
+        rank[hot] = np.arange(len(hot))
+        number = np.empty(len(distinct), np.int64)
+        rare = by_bucket[rank[by_bucket] < 0]
+        number[rare] = len(hot) + np.arange(len(rare))
+        number[hot] = rank[hot]
         kind = self.docs[0][0].type
         for part, (ids, lengths, digests, counts) in zip(words.chunks, self.docs):
             codes = _squeeze(pack_numbers(number[part.indices.to_numpy()])[0])
             yield _exploded(chunk, kind, docs=ids, lengths=lengths, digests=digests, counts=counts.tolist(), codes=codes)
-        bucket = np.fromiter(map(crc32, distinct.to_pylist()), np.int64, len(distinct)) % buckets
-        by_word = pc.sort_indices(distinct).to_numpy().astype(np.int64)
-        by_bucket = by_word[np.argsort(bucket[by_word], kind="stable")]
         ends = np.cumsum(np.bincount(bucket, minlength=buckets))
         for k in range(buckets):
             own = by_bucket[ends[k - 1] if k else 0 : ends[k]]
             if len(own):
-                yield _exploded(chunk, kind, bucket=k, codes=_squeeze(pack_numbers(number[own])[0]), words=_squeeze(*pack_words(distinct.take(pa.array(own)))))
+                place = np.flatnonzero(rank[own] >= 0)
+                base = number[own[rank[own] < 0][:1]]
+                codes = _squeeze(*(pack_numbers(x)[0] for x in (base, np.diff(place, prepend=0), rank[own[place]])))
+                yield _exploded(chunk, kind, bucket=k, codes=codes, words=_squeeze(*pack_words(distinct.take(pa.array(own)))))
 
 
 def _exploded(chunk: int, kind: pa.DataType, bucket=None, docs=None, lengths=None, digests=None, counts=None, codes=None, words=None) -> pa.RecordBatch:
@@ -239,9 +262,9 @@ def _assemble(kind: pa.DataType, path: str):
     def assemble(docs: pa.Table, words: pa.Table) -> pa.Table:
         numbers, counts, values = [], [], []
         for code, ids in zip(words.column("codes").to_pylist(), words.column("ids").to_pylist()):
-            numbers.append(unpack_numbers(_unsqueeze(code)[0]))
             n, planes = _unsqueeze(ids)
             counts.append(unpack_numbers(n))
+            numbers.append(_numbers(code, len(counts[-1])))
             values.append(np.ascontiguousarray(planes.reshape(width, -1).T).view(np.uint16 if width == 2 else np.uint32).ravel())
         order = np.argsort(np.concatenate(numbers)) if numbers else np.zeros(0, np.int64)
         if numbers and not np.array_equal(np.concatenate(numbers)[order], np.arange(len(order))):
