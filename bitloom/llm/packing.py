@@ -10,55 +10,68 @@ takes the item:
 * ``norm``: the smallest weighted norm of the residual that would remain (the
   tightest fit)
 
-Ties go to the oldest bin; no fitting bin opens a new one. A document longer
-than a bin is cut into pieces of ``max_piece`` tokens and a rest, so all of its
-tokens are packed.
-
-Items are dealt to shards by a hash of ``doc_id``; each shard is packed on its
-own, so nothing but (doc_id, token count) is shuffled and a shard's size is
-independent of the corpus. A shard leaves one partly filled set of bins, so the
-loss against one global packing is bounded by bins open per shard.
-
-Defined results: null or blank text packs no item; an empty table gives an empty
-result; a null ``doc_id`` and repeated rows are items like any other; other
-columns are ignored.
+Ties go to the oldest bin; no fitting bin opens a new one. A document is cut only
+if no empty bin could hold it, that is beyond ``longest`` tokens, the smaller of
+``max_tokens`` and the root of ``max_attention``: into pieces of ``longest`` tokens
+and a rest, so all of its tokens are packed.
+
+Tokens are those of the byte-level vocabulary, counted as ``tokens.count_tokens``
+does. Only (doc_id, token count) is shuffled. Equal items are counted before the
+shuffle and dealt evenly to shards, all others go by a hash of both; a shard holds
+about ``shard_documents`` of them, whatever the corpus and however often one item
+repeats. Each shard is packed on its own and leaves one set of partly filled bins;
+how documents meet depends on the number of shards and so on the number of
+documents.
+
+Defined results: null or empty text has no token and packs no item; blank text has
+tokens; a null ``doc_id`` and repeated rows are items like any other; items of
+equal size are packed in the order of ``doc_id`` (null last), then piece; very long
+texts are counted whole and cut as said; other columns are ignored; an empty table
+gives an empty result. ``doc_id`` must be an integer.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bitloom.llm.textops import integer_id
+from bitloom.llm.tokens import VOCABULARY, token_counter
 from bitloom.session import materialize, table
 
 
 @dataclass(frozen=True)
 class PackingRules:
-    max_tokens: int = 2048
+    max_tokens: int = 4096
     max_documents: int = 16
-    #: One and a half full-length pieces, so that two of them don't share a bin.
-    max_attention: int = 3 * 1024 * 1024 // 2
-    max_piece: int = 1024
+    #: Two documents of 2,048 tokens, or one of 2,896.
+    max_attention: int = 2 * 2048 * 2048
     weights: tuple[float, float, float] = (1.0, 0.25, 0.5)
     score: str = "dot"
     #: Documents of a shard; only sizes are held, so memory is a few MB.
-    shard_documents: int = 20_000
+    shard_documents: int = 5_000
+    vocabulary: str = VOCABULARY
 
+    @property
+    def longest(self) -> int:
+        return min(self.max_tokens, isqrt(self.max_attention))
 
-def _count_batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in it:
-        n = pa.array([len(t.split()) if t else 0 for t in b.column(1).to_pylist()], pa.int64())
-        yield pa.RecordBatch.from_arrays([b.column(0), n], ["doc_id", "n_tokens"])
 
+def token_sizes(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
+    """(doc_id, n_tokens) of each document."""
 
-def token_sizes(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_tokens): white-space tokens of each document."""
-    return docs.select("doc_id", "text").mapInArrow(_count_batches, "doc_id bigint, n_tokens bigint")
+    def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = token_counter(path)
+        for b in it:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counter(b.column(1).to_pylist())[2])], ["doc_id", "n_tokens"])
+
+    return docs.select(integer_id(docs, "doc_id"), "text").mapInArrow(count, "doc_id bigint, n_tokens bigint")
 
 
 def vector_best_fit(tokens: np.ndarray, rules: PackingRules) -> np.ndarray:
@@ -105,22 +118,24 @@ _OUT = "shard bigint, bin bigint, doc_id bigint, piece int, start_token bigint,
 def _pack_shard(rules: PackingRules):
     def pack(t: pa.Table) -> pa.Table:
         shard = t.column("shard")[0].as_py() if t.num_rows else 0
-        ids = t.column("doc_id").to_pylist()
-        items = []
-        for i, n in zip(ids, t.column("n_tokens").to_pylist()):
-            for piece, at in enumerate(range(0, n, rules.max_piece)):
-                items.append((-min(rules.max_piece, n - at), i is None, i or 0, piece, at))
-        items.sort()
-        tokens = np.array([-x[0] for x in items], np.int64)
-        bins = vector_best_fit(tokens, rules)
+        times = t.column("copies").to_numpy()
+        ids, n = (np.repeat(c.fill_null(0).to_numpy(), times) for c in (t.column("doc_id"), t.column("n_tokens")))
+        null = np.repeat(t.column("doc_id").is_null().to_numpy(), times)
+        pieces = -(-n // rules.longest)
+        row = np.repeat(np.arange(len(n)), pieces)
+        piece = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        start = piece * rules.longest
+        size = np.minimum(rules.longest, n[row] - start)
+        order = np.lexsort((piece, ids[row], null[row], -size))
+        row, piece, start, size = row[order], piece[order], start[order], size[order]
         return pa.table(
             {
-                "shard": pa.array([shard] * len(items), pa.int64()),
-                "bin": pa.array(bins, pa.int64()),
-                "doc_id": pa.array([None if x[1] else x[2] for x in items], pa.int64()),
-                "piece": pa.array([x[3] for x in items], pa.int32()),
-                "start_token": pa.array([x[4] for x in items], pa.int64()),
-                "n_tokens": pa.array(tokens, pa.int64()),
+                "shard": pa.array(np.full(len(row), shard)),
+                "bin": pa.array(vector_best_fit(size, rules)),
+                "doc_id": pa.array(ids[row], mask=null[row]),
+                "piece": pa.array(piece.astype(np.int32)),
+                "start_token": pa.array(start),
+                "n_tokens": pa.array(size),
             }
         )
 
@@ -129,16 +144,21 @@ def _pack_shard(rules: PackingRules):
 
 def pack_sizes(sizes: DataFrame, rules: PackingRules = PackingRules()) -> DataFrame:
     """Packs (doc_id, n_tokens); one row per packed piece."""
-    if rules.max_piece > rules.max_tokens or rules.max_piece**2 > rules.max_attention or rules.max_documents < 1 or rules.score not in ("dot", "norm"):
-        raise ValueError("a piece must fit into an empty bin")
-    sizes = materialize(sizes.where("n_tokens > 0"), "packing-sizes")
-    shards = max(1, round(sizes.count() / rules.shard_documents))
-    keyed = sizes.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)))
-    return keyed.groupBy("shard").applyInArrow(_pack_shard(rules), _OUT)
+    if rules.longest < 1 or rules.max_documents < 1 or rules.score not in ("dot", "norm"):
+        raise ValueError("a token must fit into an empty bin")
+    counted = materialize(sizes.where("n_tokens > 0").groupBy("doc_id", "n_tokens").agg(F.count("*").alias("c")), "packing-sizes")
+    total = counted.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
+    shards = max(1, round(total / rules.shard_documents))
+    n = F.lit(shards)
+    # a copy more in the first c % shards of the shards that an item is dealt to
+    dealt = counted.withColumn("k", F.explode(F.sequence(F.lit(0).cast("bigint"), F.least(F.col("c"), n) - 1)))
+    dealt = dealt.select("doc_id", "n_tokens", F.pmod(F.pmod(F.xxhash64("doc_id", "n_tokens"), n) + F.col("k"), n).alias("shard"), (F.floor(F.col("c") / n) + (F.col("k") < F.col("c") % n).cast("bigint")).alias("copies"))
+    # a given number of partitions, which adaptive execution doesn't merge into a few long tasks
+    return dealt.repartition(shards, "shard").groupBy("shard").applyInArrow(_pack_shard(rules), _OUT)
 
 
 def pack_documents(docs: DataFrame, rules: PackingRules = PackingRules()) -> DataFrame:
-    return pack_sizes(token_sizes(docs), rules)
+    return pack_sizes(token_sizes(docs, rules.vocabulary), rules)
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

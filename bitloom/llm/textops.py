@@ -2,12 +2,18 @@
 
 Hashes are polynomials modulo 2**64 over UTF-8 bytes, kept as prefix sums, so
 the hash of any byte range costs O(1) and whole documents are hashed with a few
-numpy passes instead of a Python call per word.
+numpy passes instead of a Python call per word. They select and mix features; where
+the identity of a text matters, ``text_key`` or the bytes themselves decide.
 """
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 _R = 0x9E3779B97F4A7C15
 _RINV = pow(_R, -1, 1 << 64)
@@ -78,3 +84,23 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         return span_hash(self.h, self.s, self.e)
+
+
+def text_key(data: bytes) -> int:
+    """64 bits of BLAKE2b, to tell the texts of one ``doc_id`` apart."""
+    return int.from_bytes(blake2b(data, digest_size=8).digest(), "little", signed=True)
+
+
+def integer_id(df: DataFrame, name: str) -> Column:
+    """The id as bigint; ids of other than integer type are refused."""
+    if not isinstance(df.schema[name].dataType, IntegralType):
+        raise TypeError(f"{name} must be an integer, not {df.schema[name].dataType.simpleString()}")
+    return F.col(name).cast("bigint").alias(name)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have."""
+    have = {c.lower() for c in df.columns}
+    while name in have:
+        name = "_" + name
+    return name
