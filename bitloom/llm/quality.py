@@ -4,19 +4,22 @@ Each document gets two histograms: its characters by class, and its words by
 membership in a fixed list of common words (one bin per word, one bin for every
 other word). Both are compared with the reference of the document's language by
 the Jensen-Shannon distance (base 2, so within [0, 1]). The references are sums
-over all documents of that language. Minimum-length guards keep a histogram of
+over all documents of that language, so a language of which most text is junk has
+junk as its norm. Minimum-length guards keep a histogram of
 too few observations from deciding anything.
 
 Defined results:
 
-* null or blank text: no words; both distances null, verdict ``keep = false``
-  (``reason = 'empty'``)
+* null text, or text without words: both distances null where there is nothing to
+  compare, verdict ``keep = false`` (``reason = 'empty'``)
+* very long texts are counted whole
 * a distance above its bound, ``base + slack / sqrt(n)``, rejects the document
 * fewer than ``min_chars`` characters or ``min_words`` words: the distance is
   reported but does not decide
 * null language: its own reference group
 * repeated rows are judged like any other row, once per row
-* other columns are ignored by ``quality_scores`` and kept by ``quality_filter``
+* ``doc_id`` may be of any type; other columns are ignored by ``quality_scores`` and
+  kept by ``quality_filter``, whatever their names
 * a language whose reference holds fewer than ``min_reference_words`` words
   decides nothing
 * an empty table gives an empty result
@@ -33,8 +36,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
-from bitloom.llm.textops import Words, hash_bytes, span_hash
+from bitloom.llm.textops import Words, fresh
 from bitloom.session import materialize, table
 
 CHAR_CLASSES = ("lower", "upper", "letter", "digit", "space", "punct", "symbol", "other")
@@ -93,11 +97,23 @@ def _classes(text: str) -> np.ndarray:
     return np.bincount(k, minlength=len(CHAR_CLASSES))
 
 
+def _eight(b: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """Byte strings of at most eight bytes as integers, padded with zeros."""
+    n = e - s
+    at = np.arange(8)
+    inside = at < n[:, None]
+    return np.where(inside, b[np.minimum(s[:, None] + at, len(b) - 1)], np.uint8(0)).view(np.uint64).ravel()
+
+
 @lru_cache(1)
-def _common() -> tuple[np.ndarray, np.ndarray]:
-    h = np.array([hash_bytes(w.encode()) for w in COMMON_WORDS], np.uint64)
-    order = np.argsort(h)
-    return h[order], order
+def _common() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The common words as sorted integers, their places and lengths."""
+    words = [w.encode() for w in COMMON_WORDS]
+    size = np.array([len(w) for w in words])
+    ends = np.cumsum(size)
+    x = _eight(np.frombuffer(b"".join(words), np.uint8), ends - size, ends)
+    order = np.argsort(x)
+    return x[order], order, size[order]
 
 
 _KEEP_BYTES = np.ones(256, bool)
@@ -111,32 +127,38 @@ def _word_bins(text: str) -> np.ndarray:
     if not len(w):
         return out
     e = w.e - ((w.e - w.s > 1) & ~_KEEP_BYTES[w.b[w.e - 1]])
-    h, order = _common()
-    x = span_hash(w.h, w.s, e)
-    at = np.minimum(np.searchsorted(h, x), len(h) - 1)
-    hit = h[at] == x
-    out[: len(h)] = np.bincount(order[at[hit]], minlength=len(h))
+    common, order, size = _common()
+    x = _eight(w.b, w.s, e)
+    at = np.minimum(np.searchsorted(common, x), len(common) - 1)
+    hit = (common[at] == x) & (size[at] == e - w.s)
+    out[: len(common)] = np.bincount(order[at[hit]], minlength=len(common))
     out[-1] = len(w) - hit.sum()
     return out
 
 
-_HIST = "doc_id bigint, lang string, n_chars bigint, n_words bigint, chars array<bigint>, words array<bigint>"
+_HIST = "struct<n_chars:bigint,n_words:bigint,chars:array<bigint>,words:array<bigint>>"
 
 
-def _histogram_batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in it:
-        texts = b.column(2).to_pylist()
-        chars = [_classes(t or "") for t in texts]
-        words = [_word_bins(t or "") for t in texts]
-        yield pa.RecordBatch.from_arrays(
-            [b.column(0), b.column(1), pa.array([int(x.sum()) for x in chars], pa.int64()), pa.array([int(x.sum()) for x in words], pa.int64()), pa.array(chars, pa.list_(pa.int64())), pa.array(words, pa.list_(pa.int64()))],
-            ["doc_id", "lang", "n_chars", "n_words", "chars", "words"],
-        )
+def _histogram_batches(text: int, keep: list[int], name: str):
+    def emit(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            texts = b.column(text).to_pylist()
+            chars = [_classes(t or "") for t in texts]
+            words = [_word_bins(t or "") for t in texts]
+            size = lambda rows: pa.array([int(x.sum()) for x in rows], pa.int64())
+            lists = lambda rows: pa.array(rows, pa.list_(pa.int64()))
+            q = pa.StructArray.from_arrays([size(chars), size(words), lists(chars), lists(words)], ["n_chars", "n_words", "chars", "words"])
+            yield pa.RecordBatch.from_arrays([*[b.column(k) for k in keep], q], [*[b.schema.names[k] for k in keep], name])
+
+    return emit
 
 
-def histograms(docs: DataFrame) -> DataFrame:
-    """Character-class and common-word counts of each document, in one scan."""
-    return docs.select("doc_id", "lang", "text").mapInArrow(_histogram_batches, _HIST)
+def histograms(docs: DataFrame, columns: list[str], name: str) -> DataFrame:
+    """``columns`` and, as struct ``name``, the character-class and common-word
+    counts of each document, in one scan."""
+    kept = [docs.schema[c] for c in columns]
+    schema = StructType([*kept, StructField(name, _parse_datatype_string(_HIST))])
+    return docs.mapInArrow(_histogram_batches(docs.columns.index("text"), [docs.columns.index(c) for c in columns], name), schema)
 
 
 def _plogp(p: Column, q: Column) -> Column:
@@ -153,49 +175,60 @@ def js_distance(a: Column, na: Column, b: Column, nb: Column) -> Column:
     return F.when((na > 0) & (nb > 0), F.sqrt(F.greatest(total, F.lit(0.0)) / 2))
 
 
-def references(hist: DataFrame) -> DataFrame:
+def references(hist: DataFrame, q: str) -> DataFrame:
     """One row per language: both histograms summed over all its documents."""
-    sums = lambda c, n: F.array(*[F.sum(F.col(c)[i]) for i in range(n)])
-    return hist.groupBy(F.col("lang").alias("ref_lang")).agg(
-        F.sum("n_chars").alias("ref_n_chars"),
-        F.sum("n_words").alias("ref_n_words"),
-        sums("chars", len(CHAR_CLASSES)).alias("ref_chars"),
-        sums("words", len(COMMON_WORDS) + 1).alias("ref_words"),
+    sums = lambda c, n: F.array(*[F.sum(F.col(f"{q}.{c}")[i]) for i in range(n)])
+    return hist.groupBy(F.col("lang").alias("lang")).agg(
+        F.sum(f"{q}.n_chars").alias("n_chars"),
+        F.sum(f"{q}.n_words").alias("n_words"),
+        sums("chars", len(CHAR_CLASSES)).alias("chars"),
+        sums("words", len(COMMON_WORDS) + 1).alias("words"),
     )
 
 
-def quality_scores(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
-    """One row per document: sizes, both distances, verdict and its reason."""
-    hist = materialize(histograms(docs), "quality-hist")
-    ref = references(hist)
-    j = hist.join(ref, F.col("lang").eqNullSafe(F.col("ref_lang")), "left")
-    scored = j.select(
-        "doc_id",
-        "lang",
-        "n_chars",
-        "n_words",
-        F.round(js_distance(F.col("chars"), F.col("n_chars"), F.col("ref_chars"), F.col("ref_n_chars")), 6).alias("char_distance"),
-        F.round(js_distance(F.col("words"), F.col("n_words"), F.col("ref_words"), F.col("ref_n_words")), 6).alias("word_distance"),
-        (F.col("ref_n_words") >= rules.min_reference_words).alias("enough"),
-    )
-    over = lambda what: F.col(f"{what}_distance") > getattr(rules, f"{what}_base") + getattr(rules, f"{what}_slack") / F.sqrt(F.col(f"n_{what}s"))
+#: Up to so many languages (1.4 KB each) their references are broadcast.
+_FEW_LANGUAGES = 4096
+
+
+def _judged(hist: DataFrame, q: str, ref: DataFrame, rules: QualityRules) -> DataFrame:
+    """``hist`` with a struct ``q`` of sizes, distances and the reason."""
+    r = fresh(hist, "r")
+    ref = ref.select(F.col("lang").alias(f"{r}_lang"), F.struct("n_chars", "n_words", "chars", "words").alias(r))
+    if ref.count() <= _FEW_LANGUAGES:
+        ref = F.broadcast(ref)
+    j = hist.join(ref, F.col("lang").eqNullSafe(F.col(f"{r}_lang")), "left")
+    x = lambda f: F.col(f"{q}.{f}")
+    y = lambda f: F.col(f"{r}.{f}")
+    d = fresh(j, "d")
+    both = F.struct(*[F.round(js_distance(x(c), x(f"n_{c}"), y(c), y(f"n_{c}")), 6).alias(c) for c in ("chars", "words")])
+    j = j.withColumn(d, both)
+    enough = y("n_words") >= rules.min_reference_words
+    over = lambda what: F.col(f"{d}.{what}s") > getattr(rules, f"{what}_base") + getattr(rules, f"{what}_slack") / F.sqrt(x(f"n_{what}s"))
     reason = (
-        F.when(F.col("n_words") == 0, "empty")
-        .when(F.col("enough") & (F.col("n_chars") >= rules.min_chars) & over("char"), "characters")
-        .when(F.col("enough") & (F.col("n_words") >= rules.min_words) & over("word"), "words")
+        F.when(x("n_words") == 0, "empty")
+        .when(enough & (x("n_chars") >= rules.min_chars) & over("char"), "characters")
+        .when(enough & (x("n_words") >= rules.min_words) & over("word"), "words")
         .otherwise("ok")
     )
-    return scored.withColumn("reason", reason).select("doc_id", "lang", "n_chars", "n_words", "char_distance", "word_distance", "reason", (F.col("reason") == "ok").alias("keep"))
+    return j.withColumn(q, F.struct(x("n_chars").alias("n_chars"), x("n_words").alias("n_words"), F.col(f"{d}.chars").alias("char_distance"), F.col(f"{d}.words").alias("word_distance"), reason.alias("reason"))).drop(r, d, f"{r}_lang")
 
 
-def quality_filter(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
-    """The documents that the rules keep, with all their columns.
+def quality_scores(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
+    """One row per document: sizes, both distances, verdict and its reason."""
+    hist = materialize(histograms(docs.select("doc_id", "lang", "text"), ["doc_id", "lang"], "q"), "quality-hist")
+    ref = materialize(references(hist, "q"), "quality-references")
+    return _judged(hist, "q", ref, rules).select("doc_id", "lang", "q.*", (F.col("q.reason") == "ok").alias("keep"))
 
-    A rejected ``doc_id`` leaves with all its rows; rows without a ``doc_id``
-    can't be told apart and stay.
-    """
-    bad = quality_scores(docs, rules).where(~F.col("keep")).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti")
+
+def quality_filter(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
+    """The rows that the rules keep, with all their columns.
+
+    Each row is judged by its own text, where it lies: a second scan takes the
+    place of a shuffle of the texts, so rows without ``doc_id`` or with another
+    row's are judged like any other."""
+    q = fresh(docs, "q")
+    ref = materialize(references(histograms(docs.select("lang", "text"), ["lang"], "q"), "q"), "quality-references")
+    return _judged(histograms(docs, docs.columns, q), q, ref, rules).where(F.col(f"{q}.reason") == "ok").select(*docs.columns)
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
