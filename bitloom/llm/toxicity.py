@@ -5,22 +5,26 @@ features and the probabilities of all earlier categories. In training those
 earlier probabilities are out-of-fold predictions, so a later model learns from
 probabilities of the quality that it will get at prediction time.
 
-Chain: ``insult`` and ``demeaning`` (weak labels: a toxic document that uses a
-word of the category's list), ``coded`` (toxic without any listed word, as in
-other languages) and last ``toxic``, the label itself, which decides.
-
-Features: the presence of lower-cased words and of their leading 4 and 5 bytes,
-which cover inflected forms. Which features the models use is chosen by how
-strongly they separate the labelled rows. Training reads at most
-``max_training_rows`` labelled rows (the smallest by hash of ``doc_id``, so the
-choice is the same everywhere); scoring reads every document in whole.
-
-Defined results: null or blank text has only the intercept's probabilities;
-labels that are null, that contradict each other, or whose document is missing
-don't train; without labels of both kinds every probability is the share of
-toxic labels (0 without labels); repeated rows are scored once each; other
-columns are ignored by ``toxicity_scores`` and kept by the filter; an empty table
-gives an empty result.
+Chain: ``kind_1`` ... ``kind_k`` and last ``toxic``, the label itself, which decides.
+The labels name no kinds, so these are learned: the toxic training rows are
+clustered by their features (spherical k-means), and a row is of kind i if it is
+toxic and nearest to centre i. Kinds are numbered by size, the largest first.
+
+Features: the presence of lower-cased words and of their leading 4 and 5
+characters, which cover inflected forms. The models use the ``max_features``
+features of at least ``min_feature_rows`` labelled rows that separate those best;
+scoring reads every document in whole. Training reads at most
+``max_training_rows`` labelled rows that have a document (the smallest by hash of
+``doc_id``, so the choice is the same everywhere). Rows of equal features share a
+fold, so a copy of a row isn't scored by a model that has seen it.
+
+Defined results: null or blank text has only the intercept's probabilities; texts of
+any length are read whole; labels that are null, that contradict each other, or
+whose document is missing don't train; labels of one kind only, or none, give every
+document the share of toxic labels (0 without labels); repeated rows train once and
+are scored once each, alike; ``doc_id`` may be of any type that ``labels`` shares;
+other columns are ignored by ``toxicity_scores`` and kept by the filter, whatever
+their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,15 +37,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bitloom.llm.textops import Words, hash_bytes, mix, span_hash
+from bitloom.llm.textops import Words, mix, span_hash
 from bitloom.session import materialize, table
 
-LISTS = {
-    "insult": ("idiot", "moron", "stupid", "loser", "clown"),
-    "demeaning": ("scum", "trash", "worthless", "pathetic", "disgusting"),
-}
-CHAIN = (*LISTS, "coded", "toxic")
-
 
 @dataclass(frozen=True)
 class ToxicityRules:
@@ -50,6 +48,7 @@ class ToxicityRules:
     max_features: int = 4096
     min_feature_rows: int = 3
     folds: int = 3
+    kinds: int = 3
     l2: float = 1e-3
     steps: int = 150
 
@@ -66,24 +65,27 @@ def features(text: str | None) -> np.ndarray:
     e = w.e
     for _ in range(4):
         e = e - ((e - w.s > 1) & _STRIP[w.b[e - 1]])
-    n = e - w.s
     parts = [mix(span_hash(w.h, w.s, e) + np.uint64(1))]
+    starts = np.flatnonzero((w.b & 0xC0) != 0x80)  # of characters
+    first = np.searchsorted(starts, w.s)
+    count = np.searchsorted(starts, e) - first
+    starts = np.append(starts, len(w.b))
     for k in (4, 5):
-        long = n >= k
-        parts.append(mix(span_hash(w.h, w.s[long], w.s[long] + k) + np.uint64(k)))
+        end = starts[np.minimum(first + k, len(starts) - 1)]
+        long = count >= k
+        parts.append(mix(span_hash(w.h, w.s[long], end[long]) + np.uint64(k)))
     return np.unique(np.concatenate(parts))
 
 
-def _word_feature(word: str) -> int:
-    return int(mix(np.array([hash_bytes(word.encode())], np.uint64) + np.uint64(1))[0])
-
-
 def _training_rows(docs: DataFrame, labels: DataFrame, rules: ToxicityRules) -> DataFrame:
     """(doc_id, toxic, text) of the bounded sample of labelled rows."""
     agreed = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("most")).where("toxic = most and toxic in (0, 1)")
-    chosen = agreed.select("doc_id", "toxic").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rules.max_training_rows)
+    there = docs.where("doc_id is not null and text is not null").select("doc_id")
+    chosen = agreed.select("doc_id", "toxic").join(there, "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rules.max_training_rows)
     # at most max_training_rows pairs of integers, whatever the corpus
-    return docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id")
+    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id").distinct()
+    # a doc_id may have several texts
+    return rows.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(rules.max_training_rows)
 
 
 def _encode_rows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,20 +182,58 @@ class Chain:
         return p
 
 
-def fit_chain(keys: list[int], rows: list[tuple[int, list[int], list[bool]]], rules: ToxicityRules) -> Chain:
-    """rows: (toxic, hashes of chosen features, whether each list has a hit)."""
+def kinds_of(indptr: np.ndarray, index: np.ndarray, n_features: int, rules: ToxicityRules) -> np.ndarray:
+    """The cluster of each row of sparse binary features, 0 the largest."""
+    n = len(indptr) - 1
+    k = min(rules.kinds, n)
+    if not k:
+        return np.zeros(0, np.int64)
+    row = np.repeat(np.arange(n), np.diff(indptr))
+    seen = np.bincount(index, minlength=n_features)
+    weight = np.log1p(n / np.maximum(seen, 1))
+    value = weight[index]
+    value = value / np.sqrt(np.bincount(row, value**2, n))[row]
+    similar = lambda c: np.stack([np.bincount(row, value * x[index], n) for x in c], 1)
+
+    def centre(rows: np.ndarray) -> np.ndarray:
+        at = np.isin(row, rows)
+        c = np.bincount(index[at], value[at], n_features)
+        return c / max(np.linalg.norm(c), 1e-12)
+
+    # the row of most features first, then always the row least like the centres so far
+    centres = [centre(np.array([np.diff(indptr).argmax()]))]
+    while len(centres) < k:
+        centres.append(centre(np.array([similar(centres).max(1).argmin()])))
+    label = similar(centres).argmax(1)
+    for _ in range(20):
+        centres = [centre(np.flatnonzero(label == i)) if (label == i).any() else c for i, c in enumerate(centres)]
+        new = similar(centres).argmax(1)
+        if (new == label).all():
+            break
+        label = new
+    order = np.argsort(-np.bincount(label, minlength=k), kind="stable")
+    return np.argsort(order)[label]
+
+
+def fit_chain(keys: list[int], rows: list[tuple[int, list[int]]], rules: ToxicityRules) -> Chain:
+    """rows: (toxic, hashes of chosen features)."""
     order = np.sort(np.array(keys, np.int64).view(np.uint64))
     chain = Chain(order, [])
-    cols = [chain.columns(np.array(f, np.int64).view(np.uint64)) for _, f, _ in rows]
+    cols = [chain.columns(np.array(f, np.int64).view(np.uint64)) for _, f in rows]
     indptr = np.concatenate(([0], np.cumsum([len(c) for c in cols]))).astype(np.int64)
     index = np.concatenate(cols).astype(np.int64) if cols else np.zeros(0, np.int64)
     toxic = np.array([r[0] for r in rows], float)
-    hits = np.array([r[2] for r in rows], bool).reshape(len(rows), len(LISTS))
-    targets = {name: toxic * hits[:, i] for i, name in enumerate(LISTS)} | {"coded": toxic * ~hits.any(1), "toxic": toxic}
-    fold = np.arange(len(rows)) % rules.folds
+    bad = np.flatnonzero(toxic == 1)
+    kind = np.full(len(rows), -1)
+    if 0 < len(bad) < len(rows):
+        kind[bad] = kinds_of(*_subset(indptr, index, bad), len(order), rules)
+    # rows of the same features are of the same fold
+    same: dict[bytes, int] = {}
+    group = np.array([same.setdefault(c.tobytes(), len(same)) for c in cols], np.int64)
+    fold = group % rules.folds
     earlier = np.zeros((len(rows), 0))
-    for name in CHAIN:
-        y = targets[name]
+    for i in range(rules.kinds + 1):
+        y = (kind == i).astype(float) if i < rules.kinds else toxic
         chain.weights.append(fit_logistic(indptr, index, earlier, y, len(order), rules))
         held = np.zeros(len(rows))
         for k in range(rules.folds):  # out of fold: each row is predicted by a model that hasn't seen it
@@ -205,41 +245,52 @@ def fit_chain(keys: list[int], rows: list[tuple[int, list[int], list[bool]]], ru
 
 
 def train(docs: DataFrame, labels: DataFrame, rules: ToxicityRules = ToxicityRules()) -> Chain:
-    rows = materialize(_training_rows(docs, labels, rules).select("doc_id", F.col("toxic").cast("bigint").alias("toxic"), "text").mapInArrow(_encode_rows, "doc_id bigint, toxic bigint, features array<bigint>"), "toxicity-rows")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = materialize(_training_rows(docs, labels, rules).select("doc_id", F.col("toxic").cast("bigint").alias("toxic"), "text").mapInArrow(_encode_rows, f"doc_id {kind}, toxic bigint, features array<bigint>"), "toxicity-rows")
     keys = _select_features(rows, rules)
-    lists = [np.array([_word_feature(w) for w in words], np.uint64).view(np.int64) for words in LISTS.values()]
     chosen = np.sort(np.array(keys, np.int64))
 
     def narrow(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            feats = [np.array(f, np.int64) for f in b.column(2).to_pylist()]
-            kept = [f[np.isin(f, chosen)] for f in feats]
-            hit = [[bool(np.isin(x, f).any()) for x in lists] for f in feats]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(kept, pa.list_(pa.int64())), pa.array(hit, pa.list_(pa.bool_()))], ["doc_id", "toxic", "f", "hit"])
+            kept = [f[np.isin(f, chosen)] for f in (np.array(f, np.int64) for f in b.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(kept, pa.list_(pa.int64()))], ["toxic", "f"])
+
+    # bounded: max_training_rows rows of a few dozen chosen features; in an order of their own, whatever the tasks
+    got = sorted(zip(*rows.select("doc_id", "toxic", "features").mapInArrow(narrow, "toxic bigint, f array<bigint>").toArrow().to_pydict().values()))
+    return fit_chain(keys, got, rules)
 
-    # bounded: max_training_rows rows of a few dozen chosen features
-    got = rows.mapInArrow(narrow, "doc_id bigint, toxic bigint, f array<bigint>, hit array<boolean>").toArrow().sort_by("doc_id")
-    return fit_chain(keys, list(zip(got["toxic"].to_pylist(), got["f"].to_pylist(), got["hit"].to_pylist())), rules)
+
+def _chain_names(rules: ToxicityRules) -> list[str]:
+    return [*(f"p_kind_{i + 1}" for i in range(rules.kinds)), "p_toxic"]
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, rules: ToxicityRules = ToxicityRules()) -> DataFrame:
     """doc_id, a probability per category, and the verdict on each document."""
     chain = train(docs, labels, rules)
-    names = [f"p_{c}" for c in CHAIN]
+    names = _chain_names(rules)
 
     def score(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             p = chain.predict([chain.columns(features(t)) for t in b.column(1).to_pylist()])
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(np.round(p[:, i], 6)) for i in range(len(CHAIN))]], ["doc_id", *names])
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(np.round(p[:, i], 6)) for i in range(len(names))]], ["doc_id", *names])
 
-    p = docs.select("doc_id", "text").mapInArrow(score, "doc_id bigint, " + ", ".join(f"{n} double" for n in names))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    p = docs.select("doc_id", "text").mapInArrow(score, f"doc_id {kind}, " + ", ".join(f"{n} double" for n in names))
     return p.withColumn("is_toxic", F.col("p_toxic") >= rules.threshold)
 
 
 def toxicity_filter(docs: DataFrame, labels: DataFrame, rules: ToxicityRules = ToxicityRules()) -> DataFrame:
-    """The documents that are not toxic, with all their columns."""
-    bad = materialize(toxicity_scores(docs, labels, rules).where("is_toxic").select("doc_id").distinct(), "toxic-ids")
-    return docs.join(bad, "doc_id", "left_anti")
+    """The rows that are not toxic, with all their columns. Each row is judged by its
+    own text, where it lies; nothing is shuffled."""
+    chain = train(docs, labels, rules)
+    at = docs.columns.index("text")
+
+    def keep(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            p = chain.predict([chain.columns(features(t)) for t in b.column(at).to_pylist()])
+            yield b.filter(pa.array(np.round(p[:, -1], 6) < rules.threshold))
+
+    return docs.mapInArrow(keep, docs.schema)
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
