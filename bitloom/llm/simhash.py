@@ -2,50 +2,64 @@
 
 A document's fingerprint has 256 bits (at 128, chance brings unrelated short
 documents within reach of real near copies). Each distinct lower-cased word votes on
-every bit with its length as weight; two documents are near duplicates when
-their fingerprints differ in at most ``max_distance`` bits.
-
-Candidates: each of ``tables`` hash tables samples ``bits`` coordinates of the
-fingerprint and groups equal samples. A bucket larger than ``bucket_cap`` is cut
-by further sampled coordinates of the same table until its parts fit or the
-coordinates are used up. Within a bucket every pair's distance is verified, and
-each connected part is passed on as a star instead of all its pairs, so a group
-of thousands costs thousands of edges. Equal fingerprints are joined before any
-table is built.
+every bit with its length, 12 bytes at most, as weight; two documents are near
+duplicates when their fingerprints differ in at most ``max_distance`` bits.
+
+Candidates: each of several hash tables samples coordinates of the fingerprint and
+groups equal samples. The number of coordinates follows the number of distinct
+fingerprints (one bucket for ``bucket_rows`` of them, ``bits`` at least), and the
+number of tables follows from it: as many as find a pair at ``max_distance`` with
+probability ``recall``. Buckets beyond ``bucket_cap`` are counted and cut by further
+sampled coordinates of the same table before the shuffle, so no task gathers one
+whole. Within a bucket every pair's distance is verified, and each connected part
+is passed on as a star instead of all its pairs, so a group of thousands costs
+thousands of edges. Equal fingerprints are joined before any table is built.
 
 Groups are the connected components of verified pairs, found by alternating
-large-star and small-star rounds, each written to the shared folder.
+large-star and small-star rounds, each written to the shared folder. A node is
+(doc_id, text key); its neighbours' minimum is aggregated before the shuffle.
 
 Defined results: null or blank text has no fingerprint and is in no group; rows
-without a ``doc_id`` are in no group; rows that repeat a ``doc_id`` are one
-document (its smallest fingerprint counts) and the filter keeps one of them; the
-kept document of a group is its smallest ``doc_id``; other columns are ignored by
-``near_duplicates`` and kept by the filter; an empty table gives an empty result.
+without a ``doc_id`` are in no group and stay; rows that repeat ``doc_id`` and text
+are one document, of which the filter keeps one row; rows of one ``doc_id`` with
+different texts are documents of their own; the kept document of a group is its
+smallest by (doc_id, 64 bits of the text's BLAKE2b); very long texts are read whole;
+``doc_id`` must be an integer; other columns are ignored by ``near_duplicates`` and
+kept by the filter, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from math import ceil, comb, log, log2
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.types import LongType, StructField, StructType
 
-from bitloom.llm.textops import Words, mix
+from bitloom.llm.textops import Words, fresh, integer_id, mix, text_key
 from bitloom.session import materialize, table
 
 
 @dataclass(frozen=True)
 class SimHashRules:
     max_distance: int = 48
-    tables: int = 32
+    #: Of finding a pair at max_distance; nearer pairs are found more surely.
+    recall: float = 0.94
     bits: int = 12
+    bucket_rows: int = 1000
     bucket_cap: int = 2000
     seed: int = 7
 
+    def plan(self, n: int) -> tuple[int, int]:
+        """(coordinates, tables) for n distinct fingerprints."""
+        bits = max(self.bits, ceil(log2(max(1, n) / self.bucket_rows)))
+        hit = comb(BITS - self.max_distance, bits) / comb(BITS, bits)
+        return bits, max(1, ceil(log(1 - self.recall) / log(1 - hit)))
+
 
 BITS = 256
 PARTS = ("f0", "f1", "f2", "f3")
@@ -67,23 +81,25 @@ def fingerprint(text: str | None) -> tuple[int, ...] | None:
 
 def _fingerprint_batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in it:
-        f = [fingerprint(t) for t in b.column(1).to_pylist()]
+        texts = b.column(1).to_pylist()
+        f = [fingerprint(t) for t in texts]
+        key = [None if t is None else text_key(t.encode("utf-8", "surrogatepass")) for t in texts]
         yield pa.RecordBatch.from_arrays(
-            [b.column(0), *[pa.array([x and x[k] for x in f], pa.int64()) for k in range(len(PARTS))]],
-            ["doc_id", *PARTS],
+            [b.column(0), pa.array(key, pa.int64()), *[pa.array([x and x[k] for x in f], pa.int64()) for k in range(len(PARTS))]],
+            ["doc_id", "key", *PARTS],
         )
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, f0, ...), null parts for texts without words."""
-    return docs.select("doc_id", "text").mapInArrow(_fingerprint_batches, "doc_id bigint, " + _COLUMNS)
+    """(doc_id, key, f0, ...), null parts for texts without words."""
+    return docs.select(integer_id(docs, "doc_id"), "text").mapInArrow(_fingerprint_batches, "doc_id bigint, key bigint, " + _COLUMNS)
 
 
-def sampled_bits(rules: SimHashRules) -> np.ndarray:
+def sampled_bits(tables: int, seed: int) -> np.ndarray:
     """Each table's own order of the coordinates; the first ones are its key,
     the next ones cut its oversized buckets."""
-    rng = np.random.default_rng(rules.seed)
-    return np.stack([rng.permutation(BITS) for _ in range(rules.tables)])
+    rng = np.random.default_rng(seed)
+    return np.stack([rng.permutation(BITS) for _ in range(tables)])
 
 
 def _unpacked(f: np.ndarray) -> np.ndarray:
@@ -91,20 +107,26 @@ def _unpacked(f: np.ndarray) -> np.ndarray:
     return np.unpackbits(np.ascontiguousarray(f).view(np.uint8).reshape(len(f), BITS // 8), axis=1)
 
 
-def _key_batches(rules: SimHashRules):
-    order = sampled_bits(rules)
+#: Further coordinates that travel with a row, to cut its buckets.
+_MORE = 32
+
+
+def _key_batches(order: np.ndarray, bits: int):
+    """(table, bucket, more, doc_id, key, f0, ...) of each row in each table."""
 
     def emit(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        value = 1 << np.arange(rules.bits, dtype=np.int64)
+        value = 1 << np.arange(max(bits, _MORE), dtype=np.int64)[::-1]
+        tables = len(order)
         for b in it:
             n = b.num_rows
             if not n:
                 continue
-            ids, f = b.column(0).to_numpy(), np.stack([b.column(k + 1).to_numpy() for k in range(len(PARTS))], 1)
-            bits = _unpacked(f)
-            keys = np.stack([bits[:, o[: rules.bits]] @ value + (np.int64(t) << np.int64(rules.bits)) for t, o in enumerate(order)], 1)
+            own = [b.column(k).to_numpy() for k in range(2 + len(PARTS))]
+            unpacked = _unpacked(np.stack(own[2:], 1))
+            bucket = np.stack([unpacked[:, o[:bits]] @ value[-bits:] for o in order], 1)
+            more = np.stack([unpacked[:, o[bits : bits + _MORE]] @ value[-_MORE:] for o in order], 1)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys.ravel()), *[pa.array(np.repeat(x, rules.tables)) for x in (ids, *f.T)]], ["bucket", "rep", *PARTS]
+                [pa.array(np.tile(np.arange(tables, dtype=np.int32), n)), pa.array(bucket.ravel()), pa.array(more.ravel()), *[pa.array(np.repeat(x, tables)) for x in own]], ["table", "bucket", "more", "doc_id", "key", *PARTS]
             )
 
     return emit
@@ -151,35 +173,32 @@ def linked(f: np.ndarray, order: np.ndarray, used: int, rules: SimHashRules) ->
         yield at[moved], at[label[moved]]
 
 
-def _link_batches(rules: SimHashRules):
-    order = sampled_bits(rules)
-
+def _link_batches(order: np.ndarray, bits: int, rules: SimHashRules):
     def link(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by bucket; a bucket may go on in the next batch."""
+        """Rows come sorted by (table, bucket, part); a bucket may go on in the next batch."""
         kept: list[np.ndarray] = []
 
         def close(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-            a, b = [], []
-            cuts = np.flatnonzero(np.diff(rows[:, 0])) + 1
+            pairs = []
+            cuts = np.flatnonzero((np.diff(rows[:, :3], axis=0) != 0).any(1)) + 1
             for s, e in zip(np.concatenate(([0], cuts)), np.concatenate((cuts, [len(rows)]))):
                 if e - s > 1:
                     part = rows[s:e]
-                    for x, y in linked(np.ascontiguousarray(part[:, 2:]), order[part[0, 0] >> rules.bits], rules.bits, rules):
-                        a.append(part[x, 1])
-                        b.append(part[y, 1])
-            if a:
-                a, b = np.concatenate(a), np.concatenate(b)
-                pairs = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)], 1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+                    for x, y in linked(np.ascontiguousarray(part[:, 5:]), order[part[0, 0]], bits, rules):
+                        pairs.append(np.concatenate([part[x, 3:5], part[y, 3:5]], 1))
+            if pairs:
+                p = np.unique(np.concatenate(pairs), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(p[:, k]) for k in range(4)], ["a", "ak", "b", "bk"])
 
         for batch in it:
             if not batch.num_rows:
                 continue
-            kept.append(np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], 1))
-            if kept[0][0, 0] == kept[-1][-1, 0]:
+            kept.append(np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns], 1))
+            if (kept[0][0, :3] == kept[-1][-1, :3]).all():
                 continue  # one bucket so far
             rows = np.concatenate(kept)
-            cut = int(np.searchsorted(rows[:, 0], rows[-1, 0]))
+            same = (rows[:, :3] == rows[-1, :3]).all(1)
+            cut = len(rows) - int(same.sum())
             kept = [rows[cut:]]
             yield from close(rows[:cut])
         if kept:
@@ -194,13 +213,14 @@ def components(edges: DataFrame) -> DataFrame:
     now = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
     state = None
     while True:
-        # large star: every larger neighbour is linked to the smallest one
+        # large star: every larger neighbour is linked to the smallest one; a minimum
+        # and a join, so a hub's neighbours are never gathered
         both = now.union(now.select("b", "a")).toDF("u", "v")
-        low = F.least(F.min("v").over(Window.partitionBy("u")), F.col("u"))
-        large = both.withColumn("m", low).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # small star: the node and its smaller neighbours are linked to the smallest
-        m = F.min("v").over(Window.partitionBy("u"))
-        small = large.withColumn("m", m).select(F.explode(F.array(F.struct(F.col("u").alias("a"), F.col("m").alias("b")), F.struct(F.col("v").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
+        m = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(m, "u").select("v", "m").toDF("a", "b").union(m.toDF("a", "b"))
         now = materialize(small.where("a <> b").distinct(), "edges")
         seen = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if seen == state:
@@ -208,34 +228,79 @@ def components(edges: DataFrame) -> DataFrame:
         state = seen
 
 
+def _node(i: str, k: str):
+    return F.struct(F.col(i).alias("id"), F.col(k).alias("key"))
+
+
+def _cut(keyed: DataFrame, rules: SimHashRules) -> DataFrame:
+    """``keyed`` with ``part``: the further coordinates that cut its bucket, as many
+    as bring an even bucket below the cap."""
+    sizes = keyed.groupBy("table", "bucket").agg(F.count("*").alias("n")).where(F.col("n") > rules.bucket_cap)
+    depth = F.least(F.ceil(F.log2(F.col("n") / rules.bucket_cap)), F.lit(_MORE)).cast("int")
+    sizes = materialize(sizes.select("table", "bucket", depth.alias("depth")), "simhash-buckets")
+    if sizes.isEmpty():
+        return keyed.withColumn("part", F.lit(0).cast("bigint"))
+    part = F.coalesce(F.expr(f"shiftright(more, {_MORE} - depth)"), F.lit(0).cast("bigint"))
+    return keyed.join(sizes, ["table", "bucket"], "left").withColumn("part", part)
+
+
 def _groups(prints: DataFrame, rules: SimHashRules) -> DataFrame:
-    """(doc_id, keep_id) for every document that another one stands for."""
-    one = prints.where("doc_id is not null and f0 is not null").groupBy("doc_id").agg(F.min(F.struct(*PARTS)).alias("f")).select("doc_id", "f.*")
-    one = materialize(one.withColumn("rep", F.min("doc_id").over(Window.partitionBy(*PARTS))), "simhash-reps")
-    reps = one.where("doc_id = rep").select("rep", *PARTS)
-    keyed = reps.mapInArrow(_key_batches(rules), "bucket bigint, rep bigint, " + _COLUMNS)
-    edges = keyed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_link_batches(rules), "a bigint, b bigint")
-    roots = components(edges)
-    same = one.select("doc_id", "rep")
-    out = same.join(roots, same.rep == roots.node, "left").select("doc_id", F.coalesce("root", "rep").alias("keep_id"))
-    return out.where("doc_id <> keep_id")
+    """(doc_id, key, keep_id) for every document that another one stands for."""
+    one = materialize(prints.where("doc_id is not null and f0 is not null").distinct(), "simhash-texts")
+    # a third of all rows may share a fingerprint: its minimum is aggregated first
+    reps = materialize(one.groupBy(*PARTS).agg(F.min(_node("doc_id", "key")).alias("rep"), F.count("*").alias("c")), "simhash-reps")
+    bits, tables = rules.plan(reps.count())
+    order = sampled_bits(tables, rules.seed)
+    keyed = reps.select("rep.id", "rep.key", *PARTS).mapInArrow(_key_batches(order, bits), "table int, bucket bigint, more bigint, doc_id bigint, key bigint, " + _COLUMNS)
+    cut = _cut(keyed, rules).select("table", "bucket", "part", "doc_id", "key", *PARTS)
+    edges = cut.repartition("table", "bucket", "part").sortWithinPartitions("table", "bucket", "part").mapInArrow(_link_batches(order, bits, rules), "a bigint, ak bigint, b bigint, bk bigint")
+    roots = components(edges.select(_node("a", "ak").alias("a"), _node("b", "bk").alias("b")))
+    final = reps.join(roots, F.col("rep") == F.col("node"), "left").select(*PARTS, F.coalesce("root", "rep").alias("keep"), "c")
+    return _by_print(one, materialize(final, "simhash-final")).where(_node("doc_id", "key") != F.col("keep")).select("doc_id", "key", F.col("keep.id").alias("keep_id"))
+
+
+def _by_print(one: DataFrame, final: DataFrame) -> DataFrame:
+    """Each document with its fingerprint's ``keep``. Fingerprints of more than a
+    thousandth of all documents, at most a thousand of them, are broadcast; the
+    join of the others has no hot key."""
+    total = final.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
+    hot = F.col("c") * 1000 > total
+    some = one.join(F.broadcast(final.where(hot & (F.col("c") > 1)).drop("c")), list(PARTS), "left")
+    rest = some.where("keep is null").drop("keep").join(final.where(~hot | (F.col("c") == 1)).drop("c"), list(PARTS))
+    return some.where("keep is not null").unionByName(rest)
 
 
 def near_duplicates(docs: DataFrame, rules: SimHashRules = SimHashRules()) -> DataFrame:
     """(doc_id, keep_id): every document of a group but the kept one, with the
-    smallest ``doc_id`` of its group."""
-    return _groups(materialize(fingerprints(docs), "simhash-prints"), rules)
+    ``doc_id`` of the kept one. A ``doc_id`` with several texts may be there with its
+    own id."""
+    return _groups(materialize(fingerprints(docs), "simhash-prints"), rules).select("doc_id", "keep_id")
 
 
 def keep_one_of_each_group(docs: DataFrame, rules: SimHashRules = SimHashRules()) -> DataFrame:
     """``docs`` with one document of each group of near duplicates."""
+    k, r, i = fresh(docs, "k"), fresh(docs, "r"), fresh(docs, "i")
+    at = docs.columns.index("text")
+
+    def add_key(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            key = [None if t is None else text_key(t.encode("utf-8", "surrogatepass")) for t in b.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(key, pa.int64())], [*b.schema.names, k])
+
+    integer_id(docs, "doc_id")
     prints = materialize(fingerprints(docs), "simhash-prints")
-    gone = _groups(prints, rules).select("doc_id").distinct()
-    again = prints.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    left = docs.join(gone, "doc_id", "left_anti")
+    gone = _groups(prints, rules).select(F.col("doc_id").alias(i), F.col("key").alias(r))
+    keyed = docs.mapInArrow(add_key, StructType([*docs.schema.fields, StructField(k, LongType())]))
+    left = keyed.join(gone, (F.col("doc_id") == F.col(i)) & (F.col(k) == F.col(r)), "left_anti")
+    again = materialize(prints.where("doc_id is not null and f0 is not null").groupBy("doc_id", "key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias(i), F.col("key").alias(r)), "simhash-repeats")
     if again.isEmpty():
-        return left
-    return left.join(again, "doc_id", "left_anti").unionByName(left.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+        return left.select(*docs.columns)
+    # rows that repeat id and text: the one whose other columns are smallest stays
+    same = (F.col("doc_id") == F.col(i)) & (F.col(k) == F.col(r))
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    once = left.join(again, same, "left_semi").groupBy("doc_id", k).agg(F.min(F.struct("text", *[F.col(f"`{c}`") for c in others])).alias("o"))
+    once = once.select(*[F.col("doc_id") if c == "doc_id" else F.col(f"o.`{c}`").alias(c) for c in docs.columns])
+    return left.join(again, same, "left_anti").select(*docs.columns).unionByName(once)
 
 
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

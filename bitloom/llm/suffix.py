@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from bitloom.llm.textops import Words, span_hash
+from bitloom.llm.textops import Words, integer_id, span_hash, text_key
 from bitloom.session import materialize, table
 
 
@@ -101,11 +101,6 @@ def _prefix_key(w: Words, a: int) -> int:
     return int.from_bytes(w.data[w.s[a] : w.s[a] + 7].ljust(7, b"\0"), "big")
 
 
-def text_key(w: Words) -> int:
-    """Tells texts of the same ``doc_id`` apart."""
-    return int(w.h[-1:].view(np.int64)[0])
-
-
 _ANCHORS = "doc_id bigint, key bigint, gram bigint, place bigint, prefix bigint"
 #: place: the anchor's word, its distance from the first window, and the number
 #: of further windows, in one number.
@@ -127,7 +122,7 @@ def _anchor_batches(rules: SuffixRules):
                 anchors, grams, own = anchored(w, rules)
                 if not anchors and not own:
                     continue
-                h, gs = text_key(w), grams.view(np.int64).tolist()
+                h, gs = text_key(w.data), grams.view(np.int64).tolist()
                 for a, p, q in anchors:
                     x = gs[a]
                     rows.append((i, h, x, (a * _FIELD + a - p) * _FIELD + q - p, None if x % rules.sampling else _prefix_key(w, a)))
@@ -249,7 +244,7 @@ def _run_batches(rules: SuffixRules, bounds: list[int]):
         for b in it:
             for i, text, anchors in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
                 w = Words(text)
-                h = text_key(w)
+                h = text_key(w.data)
                 for x in anchors:
                     if x["key"] != h:
                         continue
@@ -336,7 +331,7 @@ def _merge_range(rules: SuffixRules):
 def _spans(docs: DataFrame, rules: SuffixRules) -> DataFrame:
     if not 0 < rules.gram <= rules.min_words < _FIELD:
         raise ValueError("a gram must fit into a window")
-    docs = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
+    docs = docs.where("doc_id is not null and text is not null").select(integer_id(docs, "doc_id"), "text")
     found = docs.mapInArrow(_anchor_batches(rules), _ANCHORS)
     # the documents' own repeats have no gram; they are spread by document
     place = F.coalesce("gram", "doc_id")
@@ -388,7 +383,7 @@ def _cut_batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
         for text, spans in zip(b.column(t).to_pylist(), b.column(s).to_pylist()):
             w = Words(text)
-            mine = [x for x in spans if text and x["key"] == text_key(w)]
+            mine = [x for x in spans if text and x["key"] == text_key(w.data)]
             for x in sorted(mine, key=lambda x: -x["start_word"]):
                 del w.words[x["start_word"] : x["end_word"]]
             out.append(" ".join(w.words) if mine else text)
