@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 import tiktoken
 
-from bitloom.llm import bpe, html, packing, quality, simhash, suffix, tokens, topk, toxicity, urls
+from bitloom.llm import bpe, html, quality, suffix, tokens, topk, toxicity, urls
 from bitloom.llm.pretokens import read_ranks
 from bitloom.session import table
 
@@ -62,24 +62,6 @@ def test_quality_messy(messy, empty):
     assert quality.quality_scores(empty).count() == 0
 
 
-def test_packing_respects_every_capacity(spark, messy, empty):
-    r = packing.PackingRules()
-    for score in ("dot", "norm"):
-        rows = packing.pack_documents(table(spark, SF, "documents").unionByName(messy.select("doc_id", "text", "lang", "source", "n_chars")), packing.PackingRules(score=score)).collect()
-        bins: dict = {}
-        for x in rows:
-            bins.setdefault((x.shard, x.bin), []).append(x.n_tokens)
-        assert all(sum(b) <= r.max_tokens and len(b) <= r.max_documents and sum(n * n for n in b) <= r.max_attention for b in bins.values())
-        want = Counter()
-        for i, t in texts(spark) + [(x.doc_id, x.text) for x in messy.collect()]:
-            want[i] += len((t or "").split())
-        have = Counter()
-        for x in rows:
-            have[x.doc_id] += x.n_tokens
-        assert have == +want
-    assert packing.pack_documents(empty).count() == 0
-
-
 def test_toxicity_on_held_out_labels(spark, messy, empty):
     # half of sf0.01's labels, 200 rows, teach too few words: 0.84 right on the other half
     docs, labels = table(spark, "/root/testdata/sf0.1", "documents"), table(spark, "/root/testdata/sf0.1", "labels")
@@ -90,28 +72,6 @@ def test_toxicity_on_held_out_labels(spark, messy, empty):
     assert toxicity.toxicity_filter(empty, labels).count() == 0
 
 
-def test_simhash_matches_brute_force(spark, messy, empty):
-    rows = [(i, simhash.fingerprint(t)) for i, t in texts(spark)]
-    rows = [(i, np.array(f, np.int64).view(np.uint64)) for i, f in rows if f]
-    root = {i: i for i, _ in rows}
-
-    def find(i):
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    pairs = [(i, j) for k, (i, f) in enumerate(rows) for j, g in rows[:k] if np.bitwise_count(f ^ g).sum() <= simhash.SimHashRules().max_distance]
-    for i, j in pairs:
-        a, b = sorted((find(i), find(j)))
-        root[b] = a
-    want = {(i, find(i)) for i, _ in rows if find(i) != i}
-    got = {(r.doc_id, r.keep_id) for r in simhash.near_duplicates(table(spark, SF, "documents")).collect()}
-    assert len(got & want) >= 0.9 * len(want | got)
-    kept = Counter(r.doc_id for r in simhash.keep_one_of_each_group(messy).collect())
-    assert kept[4] == 1 and 9 not in kept and kept[1] == kept[2] == kept[None] == 1
-    assert simhash.near_duplicates(empty).count() == 0
-
-
 def test_suffix_messy(messy, empty):
     got = {(r.doc_id, r.start_word, r.end_word, r.first_doc_id) for r in suffix.repeated_passages(messy).collect()}
     assert (7, 0, 60, 6) in got and not any(i in (None, 1, 2, 3, 4, 6, 8, 9) for i, *_ in got)
@@ -165,14 +125,3 @@ def test_html_wrappers(spark):
         assert got[k].text.split("\n") == [f"i{k}{j}" for j in range(1 + k % 4)] + [f"price & {k}"]
     assert got[20].text == "alone" and got[21].text is None and got[22].text == ""
     assert html.extract_pages(df.limit(0)).count() == 0
-
-
-def test_pipeline_stages_keep_the_columns(spark):
-    import corpus_pipeline
-
-    df = table(spark, SF, "documents")
-    cols = df.columns
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        df = stage(spark, df, SF)
-        assert df.columns == cols, name
-    assert corpus_pipeline.run(spark, SF).count() > 0
