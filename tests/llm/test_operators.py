@@ -46,15 +46,6 @@ def test_matches_sql(spark, module):
     assert sorted((tuple(value(x[c]) for c in cols) for x in df.collect()), key=repr) == sorted((tuple(value(x[k]) for k in at) for x in r.fetchall()), key=repr)
 
 
-def test_topk_messy(spark):
-    rows = [(1, [0.0, 0.0]), (2, [0.0, 0.0]), (2, [0.0, 0.0]), (3, [3.0, 4.0]), (4, None), (5, []), (6, [float("nan"), 1.0]), (None, [0.0, 0.0]), (7, [1.0]), (8, [1e30, 1e30])]
-    df = spark.createDataFrame([(i, e, 1, "x") for i, e in rows], "vec_id bigint, embedding array<float>, block int, place string")
-    got = {(r.vec_id, r.rank): (r.neighbor_id, r.distance) for r in topk.nearest(df, topk.TopKRules(k=2, block_rows=2)).collect()}
-    assert got[1, 1] == (2, 0.0) and got[1, 2] == (3, 5.0) and got[2, 1] == (1, 0.0)
-    assert {k[0] for k in got} == {1, 2, 3, 8}
-    assert topk.nearest(df.limit(0)).count() == 0
-
-
 def test_quality_messy(messy, empty):
     got = {r.doc_id: r for r in quality.quality_scores(messy).collect()}
     assert [got[i].reason for i in (1, 2, 3)] == ["empty"] * 3 and got[4].keep
