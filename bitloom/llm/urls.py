@@ -8,19 +8,24 @@ without a join against the list.
 
 Keys are split by hash into shards of about ``shard_keys``; each shard's cascade
 is built in one task, so no level needs a pass of its own over the data. Probing
-carries all levels to the tasks while they are smaller than ``broadcast_bytes``
-(checked), else sends keys to their shard's cascade.
+never joins nor shuffles: levels travel to the tasks in loads of at most
+``broadcast_bytes`` (a shard at least), each load answers the keys of its shards in
+one scan, and the scans' answers are put together. A load is 64 MB, which holds the
+filters of about 10^8 listed keys, so up to there one scan does.
 
 Keys are compared by 128 hash bits. Defined results: a null URL has a null key
-and ``listed`` null; repeated rows are answered once each; list entries outside
-the universe change nothing; an empty list lists nothing; other columns are
-ignored; an empty table gives an empty result.
+and ``listed`` null; an empty or blank URL has the key '' and is listed if the list
+has ''; URLs of any length are keyed whole; repeated rows are answered once each;
+list entries outside the universe change nothing; an empty list lists nothing;
+``page_id`` may be of any type; other columns are ignored, whatever their names; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -131,33 +136,41 @@ def url_membership(pages: DataFrame, listed: DataFrame, rules: CascadeRules = Ca
     keyed = pages.select("page_id", url_key(F.col("url")).alias("key"))
     shards = max(1, round(keyed.count() / rules.shard_keys))
     levels = materialize(cascade(keyed, listed, shards), "cascade")
-    size = levels.agg(F.coalesce(F.sum(F.length("data")), F.lit(0))).first()[0]
+    sizes = levels.groupBy("shard").agg(F.sum(F.length("data")).alias("n")).orderBy("shard").toLocalIterator()
     probe = hashed(keyed, "key").withColumn("shard", F.pmod("h1", F.lit(shards)))
-    out = "page_id bigint, key string, listed boolean"
+    kind = keyed.schema["page_id"].dataType.simpleString()
+    out = f"page_id {kind}, key string, listed boolean"
 
-    def answer(b, by_shard: dict[int, list[Level]]) -> pa.RecordBatch:
-        h1, h2, s = (b.column(c).to_numpy() for c in ("h1", "h2", "shard"))
-        yes = np.zeros(len(h1), bool)
-        for shard in np.unique(s):
-            at = np.flatnonzero(s == shard)
-            yes[at] = probe_cascade(by_shard.get(int(shard), []), h1[at], h2[at])
-        null = b.column("key").is_null().to_numpy(zero_copy_only=False) if isinstance(b, pa.RecordBatch) else b.column("key").is_null().to_numpy()
-        return type(b).from_arrays([b.column("page_id"), b.column("key"), pa.array(yes, mask=null)], ["page_id", "key", "listed"])
-
-    if size <= rules.broadcast_bytes:
-        t = levels.toArrow()
-        by_shard = _levels_of(*(t.column(c).to_pylist() for c in ("shard", "level", "bits", "k", "data")))
+    def answers(load: list[int]):
+        t = levels.where(F.col("shard").between(load[0], load[-1])).toArrow()
+        sent = pages.sparkSession.sparkContext.broadcast(_levels_of(*(t.column(c).to_pylist() for c in ("shard", "level", "bits", "k", "data"))))
 
         def scan(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in it:
-                yield answer(b, by_shard)
-
-        return probe.mapInArrow(scan, out)
-
-    def together(left: pa.Table, right: pa.Table) -> pa.Table:
-        return answer(left, _levels_of(*(right.column(c).to_pylist() for c in ("shard", "level", "bits", "k", "data"))))
-
-    return probe.groupBy("shard").cogroup(levels.groupBy("shard")).applyInArrow(together, out)
+                h1, h2, s = (b.column(c).to_numpy() for c in ("h1", "h2", "shard"))
+                yes = np.zeros(len(h1), bool)
+                for shard in np.unique(s):
+                    at = np.flatnonzero(s == shard)
+                    yes[at] = probe_cascade(sent.value.get(int(shard), []), h1[at], h2[at])
+                null = b.column("key").is_null().to_numpy(zero_copy_only=False)
+                yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("key"), pa.array(yes, mask=null)], ["page_id", "key", "listed"])
+
+        return scan
+
+    # shards without levels list nothing, so they may go with any load
+    loads, size = [[]], 0
+    for r in sizes:
+        if loads[-1] and size + r.n > rules.broadcast_bytes:
+            loads.append([])
+            size = 0
+        loads[-1].append(r.shard)
+        size += r.n
+    parts = []
+    for k, load in enumerate(loads):
+        first = 0 if k == 0 else load[0]
+        last = shards if k + 1 == len(loads) else loads[k + 1][0] - 1
+        parts.append(probe.where(F.col("shard").between(first, last)).mapInArrow(answers(load or [0]), out))
+    return reduce(DataFrame.unionAll, parts)
 
 
 def flagged_keys(pages: DataFrame, labels: DataFrame) -> DataFrame:

@@ -82,13 +82,23 @@ def test_merge_of_front_coded_runs():
 
 
 def test_url_filter_messy(spark):
-    pages = spark.createDataFrame([(1, "http://www.A.com/x.html"), (2, "https://a.com/x"), (3, None), (4, "a.com/y"), (4, "a.com/y")], "page_id bigint, url string")
-    listed = spark.createDataFrame([("a.com/x",), ("b.com/z",), (None,)], "key string")
-    for size in (0, 1 << 20):
-        rows = urls.url_membership(pages, listed, urls.CascadeRules(broadcast_bytes=size)).collect()
-        assert sorted((r.page_id, r.listed) for r in rows if r.page_id != 3) == [(1, True), (2, True), (4, False), (4, False)]
-        assert [r.listed for r in rows if r.page_id == 3] == [None]
+    long = "http://l.com/" + "x" * 100_000
+    rows = [(1, "http://www.A.com/x.html"), (2, "https://a.com/x"), (3, None), (4, "a.com/y"), (4, "a.com/y"), (None, "a.com/x"), (5, ""), (6, "  "), (7, long), (8, long + "y")]
+    pages = spark.createDataFrame([(i if i is None else f"p{i}", u, 1, "k", 2, True) for i, u in rows], "page_id string, url string, h1 int, key string, shard int, listed boolean")
+    listed = spark.createDataFrame([("a.com/x",), ("b.com/z",), (None,), ("",), (long[7:],)], "key string")
+    want = [(None, True), ("p1", True), ("p2", True), ("p3", None), ("p4", False), ("p4", False), ("p5", True), ("p6", True), ("p7", True), ("p8", False)]
+    for rules in (urls.CascadeRules(), urls.CascadeRules(shard_keys=1, broadcast_bytes=1), urls.CascadeRules(shard_keys=3, broadcast_bytes=20)):
+        assert sorted(((r.page_id, r.listed) for r in urls.url_membership(pages, listed, rules).collect()), key=repr) == sorted(want, key=repr)
     assert urls.url_membership(pages.limit(0), listed).count() == 0
+    assert [r.listed for r in urls.url_membership(pages.limit(2), listed.limit(0)).collect()] == [False, False]
+
+
+def test_url_cascade_of_many_shards_and_loads(spark):
+    pages = spark.range(3000).selectExpr("id as page_id", "concat('h', id % 50, '.org/', id div 2) as url")
+    listed = pages.where("page_id % 7 = 0").select(urls.url_key(pages.url).alias("key"))
+    bad = {r.key for r in listed.collect()}
+    got = urls.url_membership(pages, listed, urls.CascadeRules(shard_keys=200, broadcast_bytes=300)).collect()
+    assert len(got) == 3000 and all(r.listed == (r.key in bad) for r in got)
 
 
 def test_tokens_match_the_public_encoder(spark, messy, empty):
