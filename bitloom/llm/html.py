@@ -2,7 +2,10 @@ r"""HTML extraction by union-free regular-expression inference over a host's pag
 
 A page is a stream of tags and texts. Its *shape* is that stream as an
 expression: a letter for each tag, ``#`` for a text, and ``(unit)+`` where a unit
-follows itself (lists, tables, paragraphs), found inside out. The wrapper of a
+follows itself (lists, tables, paragraphs), found inside out: units of up to 40 tokens
+by regular expressions, short ones first, then longer ones of any length by their
+period. Tags are told apart by name, not by attributes; names beyond the table of
+common ones share 851,968 letters by hash. The wrapper of a
 host is the expression that all its pages' shapes match: shapes are aligned one
 after another along a longest common subsequence of their items; an item that
 one side lacks becomes optional, ``( )?``; a single unit facing its repetition
@@ -16,14 +19,17 @@ Alignment works on distinct shapes, not on pages: tasks reduce their pages to
 (host, shape, count, the ranges of the hashes of each text and of the pages), salted parts of a host are
 aligned in parallel and their wrappers aligned once more, so a hot host is no
 task of its own, and no page text is shuffled for the inference. Extraction reads
-the pages again and looks each one's texts up in its host's wrapper.
+the pages again and looks each one's texts up in its host's wrapper: the wrappers are
+broadcast while they are smaller than ``broadcast_bytes`` (checked), else each is
+copied to ``salts`` places that share its host's pages.
 
 Defined results: null HTML has null ``text`` and no slots; HTML without texts has
 an empty text; comments, scripts, styles, declarations are no tokens; an unclosed
 one of them ends the page; pages without a host (null or blank URL) form one
 group; on a host of which no text varies (one page, or copies of one page), every
-text counts as data; repeated rows are extracted once each; other columns are
-ignored; an empty table gives an empty result.
+text counts as data; pages of any length are parsed whole; repeated rows are extracted
+once each; ``page_id`` may be of any type; other columns are ignored, whatever their
+names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,6 +40,7 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, replace
 from html import unescape
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -56,13 +63,20 @@ _TOKEN = re.compile(
 )
 #: A unit that follows itself at once; short ones first, so inner ones first.
 _REPEATS = [re.compile(rf"(.{{1,{n}}}?)\1+", re.S) for n in (5, 10, 20, 40)]
-_PLACE = 0xE000
+#: Characters from here on stand for units within a page.
+_PLACE, _PLACES = 0xF0000, 0xFFFE
+_SHORT = 40
 
 
 def letter(tag: str) -> str:
-    """One character per tag name; names beyond the table share 16384 letters."""
+    """One character per tag name; names beyond the table share 851,968."""
     tag = tag.lower()
-    return _LETTER.get(tag) or _LETTER.setdefault(tag, chr(0x4000 + (zlib.crc32(tag.encode("utf-8", "surrogatepass")) & 0x3FFF)))
+    got = _LETTER.get(tag)
+    if got is None:
+        got = chr(0x20000 + xxhash.xxh64_intdigest(tag.encode("utf-8", "surrogatepass")) % 0xD0000)
+        if len(_LETTER) < 100_000:
+            _LETTER[tag] = got
+    return got
 
 
 def tokens(html: str) -> tuple[str, list[str]]:
@@ -88,29 +102,63 @@ def tokens(html: str) -> tuple[str, list[str]]:
     return "".join(out), texts
 
 
+def long_repeats(s: str) -> list[tuple[int, int, int]]:
+    """(start, end, length of the unit) of the places at which a unit of more than
+    ``_SHORT`` items follows itself, for the shortest such unit."""
+    v = np.frombuffer(s.encode("utf-32-le"), np.uint32)
+    n, g = len(v), 8
+    if n < 2 * (_SHORT + 1):
+        return []
+    h = np.zeros(n - g + 1, np.uint64)
+    for k in range(g):
+        h = h * np.uint64(0x100000001B3) + v[k : n - g + 1 + k]
+    for p in range(_SHORT + 1, n // 2 + 1):
+        # n / p places are enough: a run of p equal items covers one of them, and eight items before or after it
+        j = np.arange(0, n - p, p)
+        after = j[j + p < len(h)]
+        before = j[j >= g] - g
+        if not (h[after] == h[after + p]).any() and not (h[before] == h[before + p]).any():
+            continue
+        edge = np.flatnonzero(np.diff(np.concatenate(([0], (v[:-p] == v[p:]).astype(np.int8), [0]))))
+        out, last = [], 0
+        for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()):
+            a = max(a, last)
+            if b - a >= p:
+                last = a + p * ((b - a) // p + 1)
+                out.append((a, last, p))
+        if out:
+            return out
+    return []
+
+
 def shape(stream: str) -> tuple[list[str], list[int]]:
     """Top-level items of a stream ('#', a letter or '(unit)+'), and the number
     of texts in each."""
     units: dict[str, str] = {}
     content: list[str] = []
-    count = [c == "#" for c in stream]
+    count = [int(c == "#") for c in stream]
+    whole = lambda x: content[ord(x) - _PLACE] if ord(x) >= _PLACE else x
     s = stream
     level = 0
-    while level < len(_REPEATS):
+    while level <= len(_REPEATS):
+        if level < len(_REPEATS):
+            places = [(m.start(), m.end(), len(m.group(1))) for m in _REPEATS[level].finditer(s)]
+        else:
+            places = long_repeats(s)
         out: list[str] = []
         n: list[int] = []
         last = 0
-        for m in _REPEATS[level].finditer(s):
-            unit, a, b = m.group(1), m.start(), m.end()
-            if len(unit) == 1 and _PLACE <= ord(unit) < _PLACE + len(content):
+        for a, b, size in places:
+            unit = s[a : a + size]
+            if size == 1 and ord(unit) >= _PLACE:
                 c = unit  # (x+)+ is x+
             else:
                 c = units.get(unit)
                 if c is None:
-                    if len(content) == 0x1800:
+                    if len(content) == _PLACES:
                         break
                     c = units[unit] = chr(_PLACE + len(content))
-                    content.append("(" + "".join(content[ord(x) - _PLACE] if x >= "" else x for x in unit) + ")+")
+                    content.append("(" + "".join(map(whole, unit)) + ")+")
             out.append(s[last:a])
             out.append(c)
             n += count[last:a]
@@ -122,7 +170,9 @@ def shape(stream: str) -> tuple[list[str], list[int]]:
         out.append(s[last:])
         n += count[last:]
         s, count = "".join(out), n
-    return [content[ord(x) - _PLACE] if x >= "" else x for x in s], [int(x) for x in count]
+        if level == len(_REPEATS):
+            level = 0  # units that are now one item may be part of short ones
+    return list(map(whole, s)), count
 
 
 def items_of(expression: str) -> list[str]:
@@ -392,9 +442,6 @@ def infer_wrappers(pages: DataFrame, salts: int = 32) -> DataFrame:
     return shapes.groupBy("host", "salt").applyInArrow(_infer, _WRAPPERS).groupBy("host").applyInArrow(_infer, _WRAPPERS)
 
 
-_OUT = "page_id bigint, host string, n_slots int, n_template int, text string"
-
-
 def _extract(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     wrappers: dict[tuple, tuple[list[Item], bool]] = {}
     known: dict[tuple, list[bool]] = {}
@@ -429,14 +476,21 @@ def _extract(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(slots, pa.int32()), pa.array(template, pa.int32()), pa.array(out, pa.string())], ["page_id", "host", "n_slots", "n_template", "text"])
 
 
-def extract_pages(pages: DataFrame) -> DataFrame:
+def extract_pages(pages: DataFrame, broadcast_bytes: int = 32 << 20, salts: int = 32) -> DataFrame:
     """page_id, host, n_slots (texts of data), n_template (texts of the wrapper),
     text (the data, a line each)."""
     pages = pages.select("page_id", "url", "html")
     wrappers = materialize(infer_wrappers(pages), "wrappers").withColumnRenamed("host", "w_host")
     keyed = pages.select("page_id", host_of(F.col("url")).alias("host"), "html")
-    both = keyed.join(wrappers, F.col("host") == F.col("w_host"), "left")
-    return both.select("page_id", "host", "html", *_FIELDS).mapInArrow(_extract, _OUT)
+    size = wrappers.agg(F.coalesce(F.sum(F.length(F.array_join("items", "")) + 64 * F.size("items")), F.lit(0))).first()[0]
+    if size <= broadcast_bytes:
+        both = keyed.join(F.broadcast(wrappers), F.col("host") == F.col("w_host"), "left")
+    else:
+        keyed = keyed.withColumn("salt", F.pmod(F.xxhash64("page_id", "html"), F.lit(salts)))
+        copies = wrappers.withColumn("w_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
+        both = keyed.join(copies, (F.col("host") == F.col("w_host")) & (F.col("salt") == F.col("w_salt")), "left")
+    kind = pages.schema["page_id"].dataType.simpleString()
+    return both.select("page_id", "host", "html", *_FIELDS).mapInArrow(_extract, f"page_id {kind}, host string, n_slots int, n_template int, text string")
 
 
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
