@@ -12,7 +12,7 @@ PRELUDES["hcode"] = Prelude("select id, prefix_len, range_len, low, cast((sum(1
 
 TEMPLATES = {
     "ia_bucket": Template("select v.l_orderkey, v.l_linenumber, v.v, b.id as bucket, abs(v.v) - b.low as offset_value, 1 + b.id + b.bits + 1 as n_bits from val v join bucket b on abs(v.v) between b.low and b.high", ("val", "bucket")),
-    "sym_code_len": Template("select p_partkey, p_size, case when p_size <= 1 then 0 when p_size <= 2 then 1 when p_size <= 4 then 2 when p_size <= 8 then 3 when p_size <= 16 then 4 when p_size <= 32 then 5 else 6 end as code_len from {part}"),
+    "sym_code_len": Template("select p_partkey, p_size, n, case when n <= 1 then 0 else length(bin(n - 1)) end as code_len from (select p_partkey, p_size, p_size * (1 + p_partkey % 300) as n from {part}) p"),
     "huff_canonical": Template("select id, prefix_len, prefix from hcode", ("hcode",)),
     "huff_encode_lookup": Template("select l_orderkey, l_linenumber, h.id, h.prefix, abs(v) - h.low as tail from val v join hcode h on abs(v) >= h.low and (h.id = 3 or abs(v) < h.low + (1 << h.range_len))", ("val", "hcode")),
     "t45_expand": Template("select p_partkey, p_size % 7 as colour, k from (select p_partkey, p_size, $explode($range(1, p_size % 9 + 1)) as k from {part}) r"),

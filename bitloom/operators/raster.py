@@ -34,7 +34,13 @@ TEMPLATES = {
         cross join (select $explode($range(0, {HEIGHT})) as y) yy left join (select page, y, bits from line) l on l.page = p.page and l.y = yy.y""".replace("coalesce(lag(l.bits) over (partition by p.page order by yy.y), 0)", "lag(coalesce(l.bits, 0), 1, 0) over (partition by p.page order by yy.y)"),
         ("line",),
     ),
-    "uniform_3x3": Template("select a.page, a.y, a.x, count(*) as n, count(*) = 9 as uniform from px a join px b on a.page = b.page and abs(a.y - b.y) <= 1 and abs(a.x - b.x) <= 1 group by a.page, a.y, a.x", ("px",)),
+    # pixels whose nine neighbours agree, all ink (1) or all paper (0); beyond the page is paper
+    "uniform_3x3": Template(
+        f"""select page, y, x, value from (select g.page, g.y, g.x, case when count(b.x) = 9 then 1 when count(b.x) = 0 then 0 end as value
+        from (select page, y, $explode($range(0, {WIDTH - 1})) as x from (select page, $explode($range(0, {HEIGHT - 1})) as y from (select distinct page from px) p) r) g
+        left join px b on g.page = b.page and b.y between g.y - 1 and g.y + 1 and b.x between g.x - 1 and g.x + 1 group by g.page, g.y, g.x) u where value is not null""",
+        ("px",),
+    ),
     "run_lengths": Template("select page, y, cast(min(x) as int) as x, count(*) as run from (select page, y, x, x - row_number() over (partition by page, y order by x) as island from px) i group by page, y, island", ("px",)),
     "page_diff": Template(
         "select page, cast(sum(bit_count($xor[p,q])) as bigint) as diff from (select coalesce(a.page, b.page) as page, coalesce(a.bits, 0) as p, coalesce(b.bits, 0) as q from line a full outer join (select page + 1 as page, y, bits from line) b on a.page = b.page and a.y = b.y) d group by page",
@@ -51,10 +57,11 @@ TEMPLATES = {
     "halftone_grid": Template("select p_partkey, m, (-512 + m * 1024 + p_size * 64) >> 8 as y, (768 + m * 96 - p_size * 1024) >> 8 as x from (select p_partkey, p_size, $explode($range(0, 3)) as m from {part}) g"),
     "pattern_slices": Template("select vec_id, k, " + "case k " + " ".join(f"when {k} then r{k}" for k in range(8)) + " end as bits from (select *, $explode($range(0, 7)) as k from glyph) g", ("glyph",)),
     "glyph_ink": Template(f"select vec_id, cast({_INK} as bigint) as ink from glyph", ("glyph",)),
+    # ten neighbours: four to the left, five above and the adaptive pixel at (2, -1)
     "context_histogram_t3": Template(
-        """select ctx, bit, count(*) as n from (select (c.bits >> x) & 1 as bit, (case when x > 0 then (c.bits >> (x - 1)) & 1 else 0 end) * 1 + (case when x > 1 then (c.bits >> (x - 2)) & 1 else 0 end) * 2
-          + ((coalesce(u.bits, 0) >> x) & 1) * 4 + (case when x > 0 then (coalesce(u.bits, 0) >> (x - 1)) & 1 else 0 end) * 8 + ((coalesce(u.bits, 0) >> (x + 1)) & 1) * 16 as ctx
-          from (select page, y, bits, $explode($range(0, 23)) as x from line) c left join line u on u.page = c.page and u.y = c.y - 1) h group by ctx, bit""",
+        "select ctx, bit, count(*) as n from (select (c.bits >> x) & 1 as bit, "
+        + " + ".join([f"(case when x >= {k} then (c.bits >> (x - {k})) & 1 else 0 end) * {1 << (k - 1)}" for k in range(1, 5)] + [f"(case when x + {dx} between 0 and {WIDTH - 1} then (coalesce(u.bits, 0) >> (x + {dx})) & 1 else 0 end) * {1 << p}" for p, dx in ((4, 2), (5, 1), (6, 0), (7, -1), (8, -2), (9, -3))])
+        + f""" as ctx from (select page, y, bits, $explode($range(0, {WIDTH - 1})) as x from line) c left join line u on u.page = c.page and u.y = c.y - 1) h group by ctx, bit""",
         ("line",),
     ),
 }

@@ -24,8 +24,7 @@ def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(b, F.expr("a.vec_id < b.vec_id")).select(F.col("a.vec_id").alias("a"), F.col("b.vec_id").alias("b"), diff, F.least("a.ink", "b.ink").alias("least_ink"))
 
 
-#: The SQL text compares glyphs of one label only; Spark compares all pairs.
-PRELUDES["gpair"] = Prelude(f"select a.vec_id as a, b.vec_id as b, cast({_XOR} as bigint) as diff, least(a.ink, b.ink) as least_ink from gink a join gink b on a.vec_id < b.vec_id and a.label = b.label", ("gink",), _pairs)
+PRELUDES["gpair"] = Prelude(f"select a.vec_id as a, b.vec_id as b, cast({_XOR} as bigint) as diff, least(a.ink, b.ink) as least_ink from gink a join gink b on a.vec_id < b.vec_id", ("gink",), _pairs)
 
 TEMPLATES = {
     "cc_label": Template("select page, y, x, label from cc", ("cc",)),

@@ -57,16 +57,18 @@ PRELUDES["evt"] = Prelude("select user_id as sid, event_id as e, event_type as e
 PRELUDES["seg0"] = Prelude(
     """select sid, e, cast(ord as bigint) as ord, ord - (case when e % 17 = 0 then 2 else 0 end) as number,
     case when e % 23 = 0 then null when et = 'signup' then 48
-      when et = 'view' then (case when e % 3 = 0 then 16 when e % 3 = 1 then 0 else 40 end)
-      when et = 'click' then (case when e % 4 = 0 then 42 else 6 end)
-      when et = 'purchase' then (case when e % 5 = 0 then 22 else 38 end)
+      when et = 'view' then (case e % 5 when 0 then 16 when 1 then 0 when 2 then 40 when 3 then 39 else 43 end)
+      when et = 'click' then (case e % 6 when 0 then 42 when 1 then 36 when 2 then 4 when 3 then 7 else 6 end)
+      when et = 'purchase' then (case e % 5 when 0 then 22 when 1 then 20 when 2 then 23 else 38 end)
       else (case e % 8 when 0 then 52 when 1 then 53 when 2 then 54 when 3 then 62 when 4 then 50 when 5 then 51 else 49 end) end as stype,
     case when et = 'view' and e % 2 = 0 then 0 else 1 + ord $idiv 8 end as page,
     case when e % 6 = 0 then $array(ord - 1 - e % 5, ord + (case when e % 30 = 0 then 1 else -2 end)) when e % 6 = 1 then $array(ord - 1) else $empty end as referred,
     (e % 11) * 4 + (case when e % 13 = 0 then 1 else 0 end) as body_len,
     case when e % 19 = 0 then null else (e % 11) * 4 + (case when e % 13 = 0 then 1 else 0 end) + (case when e % 29 = 0 then 3 else 0 end) end as data_length,
-    (e * 37) % 256 as flags8, (e * 40503) % 65536 as flags16, (e * 7) % 4 as rw, (e * 11) % 5 as rh, (e * 13) % 9 as n_new, (e * 5) % 7 as n_exp,
-    (e * 3) % 8 as n_inst, e % 10 as gw, e % 12 as gh, case when e % 31 = 0 then 'Reserved' when e % 3 = 0 then 'Long' else 'Short' end as form,
+    (e * 37) % 256 as flags8, (e * 40503) % 65536 as flags16, (e * 7) % 4 as rw, (e * 11) % 5 as rh,
+    case when e % 41 = 0 then 1000000 + e % 3 else (e * 13) % 9 end as n_new, case when e % 43 = 0 then 999999 + e % 4 else (e * 5) % 7 end as n_exp,
+    case when e % 37 = 0 then 9999999 + e % 4 else (e * 3) % 7 end as n_inst, case when e % 9 = 0 then null else (e * 37) % 256 end as pflags,
+    case when (e * 40503) % 2 = 1 then (e * 30011) % 65536 end as huff, e % 10 as gw, e % 12 as gh, case when e % 31 = 0 then 'Reserved' when e % 3 = 0 then 'Long' else 'Short' end as form,
     case when e % 27 = 0 then 1 else 0 end as lost from evt""",
     ("evt",),
 )
@@ -75,4 +77,4 @@ PRELUDES["seg"] = Prelude(
     (select *, cast(11 + $len(referred) as bigint) as hl, cast($len(referred) + 1 - lost as bigint) as retain from seg0) s""",
     ("seg0",),
 )
-PRELUDES["ref"] = Prelude("select sid, ord, number, stype, page, off, $explode(referred) as target from seg", ("seg",))
+PRELUDES["ref"] = Prelude("select sid, ord, number, stype, page, off, flags16, $explode(referred) as target from seg", ("seg",))

@@ -1 +1 @@
-"""Sources of bitloom."""
+"""Compressed streams as tables."""
