@@ -32,12 +32,19 @@ def local_session(cpus: int | None = None, memory: str = "8g", **conf: str) -> S
     return prepare(spark)
 
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def prepare(spark: SparkSession) -> SparkSession:
     """Lets Python workers import this package, wherever they run.
 
     On a cluster without a shared source folder, pass the package with
-    ``--py-files`` instead; the setting here is then harmless.
+    ``--py-files`` instead; the setting here is then harmless. Arrow batches of the
+    default size hold tens of MB of text at several places at once, so they are made
+    smaller unless the session has a size of its own.
     """
+    if spark.conf.get(_BATCH, "10000") == "10000":
+        spark.conf.set(_BATCH, "2000")
     env = spark.sparkContext.environment
     if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
