@@ -3,7 +3,6 @@
 import duckdb
 import pytest
 
-from bitloom.functions.coders import Decoder, Encoder, decode_integer, decode_region, encode_integer, encode_region
 from bitloom.operators.components import labels
 from bitloom.plans import catalog
 from bitloom.plans.dialect import TABLES
@@ -37,21 +36,6 @@ def test_matches_sql(spark, con, name):
     assert ours == sorted((tuple(value(x[names.index(c)]) for c in cols) for x in r.fetchall()), key=repr)
 
 
-def test_coders_round_trip():
-    import random
-
-    r = random.Random(3)
-    for _ in range(50):
-        rows = [r.getrandbits(8) & r.getrandbits(8) for _ in range(8)]
-        assert decode_region(encode_region(rows, 8), 8, 8) == rows
-        v = [r.choice([None, r.randint(-(10**5), 10**5)]) for _ in range(20)]
-        e = Encoder()
-        for x in v:
-            encode_integer(e, x)
-        d = Decoder(e.finish())
-        assert [decode_integer(d) for _ in v] == v
-
-
 def test_components_join_diagonals():
     import numpy as np
 
