@@ -135,7 +135,7 @@ def huffman_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LINES = "select page, cast(y as integer) as y, bits from line"
 TEMPLATES: dict[str, Template] = {
     "generic_roundtrip": Coded("select vec_id, " + ", ".join(f"r{k}" for k in range(8)) + " from glyph", ("glyph",), generic_roundtrip),
-    "integer_roundtrip": Coded(f"select l_orderkey as o_orderkey, string_agg(cast({_VALUE} as varchar), ',' order by l_linenumber) as decoded from {{lineitem}} group by l_orderkey", (), integer_roundtrip),
+    "integer_roundtrip": Coded(f"select l_orderkey as o_orderkey, string_agg(cast({_VALUE} as varchar), ',' order by l_linenumber, {_VALUE}) as decoded from {{lineitem}} group by l_orderkey", (), integer_roundtrip),
     "huffman_roundtrip": Coded("select o_orderkey, k::integer as table_no, case when k = 14 then (1 + o_orderkey * o_custkey % 100000) % 5 - 2 else 1 + o_orderkey * o_custkey % 100000 end as decoded from {orders} cross join (select unnest(range(1, 16)) as k) t", (), huffman_roundtrip),
 } | {
     f"page_{name}": Coded(_LINES, ("line",), _pages(rules))
