@@ -12,7 +12,11 @@ union of all other windows is reported and removed.
 2. Every task sorts its suffixes, cut to the ``min_words`` words that a window
    can reach, and writes one front-coded run per range of the suffix order: each
    entry holds the length of the prefix it shares with the entry before and the
-   rest. Ranges come from sampled quantiles, as in any distributed sort.
+   rest. Of equal suffixes of a run only the first document's goes on, so what a
+   third of all documents share is one entry per run; the others point to it.
+   Ranges come from sampled quantiles of the suffixes' first 48 bytes, with the
+   gram's hash as tie-break: at most ``coarse_ranges`` of them, from a sample of
+   bounded size, each cut further by the gram's hash where the corpus is large.
 3. Each range merges its runs with a loser tree that carries, for every run's
    head, the length of the prefix shared with the last output. Heads with
    different lengths are ordered by those alone; equal ones are compared from
@@ -32,6 +36,7 @@ nothing remains. Documents without a repeated passage stay as they are.
 from __future__ import annotations
 
 import struct
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -52,9 +57,12 @@ class SuffixRules:
     #: Suffixes in a range of the merge; some 500 bytes each.
     range_suffixes: int = 30_000
     #: Of the range boundaries: one suffix in so many (by hash) is a candidate,
-    #: and so many of those are used per range. They affect balance alone.
+    #: and so many of those are used per coarse range. They affect balance alone.
     sampling: int = 64
     oversampling: int = 40
+    coarse_ranges: int = 4096
+    #: Bytes of suffixes that a task sorts at a time.
+    run_bytes: int = 64 << 20
 
 
 # ---- anchors -------------------------------------------------------------------
@@ -96,12 +104,12 @@ def anchored(w: Words, rules: SuffixRules) -> tuple[list[tuple[int, int, int]],
     return [(int(at[a]), int(windows[a]), int(windows[b - 1])) for a, b in zip(lo, hi)], grams, own
 
 
-def _prefix_key(w: Words, a: int) -> int:
-    """The first 7 bytes of a suffix as a number of the same order."""
-    return int.from_bytes(w.data[w.s[a] : w.s[a] + 7].ljust(7, b"\0"), "big")
+def _prefix(w: Words, a: int) -> bytes:
+    """The first bytes of a suffix; no gram is shorter."""
+    return w.data[w.s[a] : w.s[a] + 48]
 
 
-_ANCHORS = "doc_id bigint, key bigint, gram bigint, place bigint, prefix bigint"
+_ANCHORS = "doc_id bigint, key bigint, gram bigint, place bigint, prefix binary, repeats bigint"
 #: place: the anchor's word, its distance from the first window, and the number
 #: of further windows, in one number.
 _FIELD = 1 << 16
@@ -112,7 +120,7 @@ _HALF = 1 << 31
 def _anchor_batches(rules: SuffixRules):
     """Anchors as (doc_id, key, gram, place, prefix); the prefix only for the
     sampled ones. A document's own repeats have no gram; place then holds start
-    and end, and prefix the first and last window that they repeat."""
+    and end, and ``repeats`` the first and last window that they repeat."""
 
     def emit(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
@@ -125,10 +133,11 @@ def _anchor_batches(rules: SuffixRules):
                 h, gs = text_key(w.data), grams.view(np.int64).tolist()
                 for a, p, q in anchors:
                     x = gs[a]
-                    rows.append((i, h, x, (a * _FIELD + a - p) * _FIELD + q - p, None if x % rules.sampling else _prefix_key(w, a)))
-                rows += [(i, h, None, s * _HALF + e, a * _HALF + b) for s, e, a, b in own]
-            cols = list(zip(*rows)) if rows else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "key", "gram", "place", "prefix"])
+                    rows.append((i, h, x, (a * _FIELD + a - p) * _FIELD + q - p, None if x % rules.sampling else _prefix(w, a), None))
+                rows += [(i, h, None, s * _HALF + e, None, a * _HALF + b) for s, e, a, b in own]
+            cols = list(zip(*rows)) if rows else [[]] * 6
+            kinds = (pa.int64(),) * 4 + (pa.binary(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["doc_id", "key", "gram", "place", "prefix", "repeats"])
 
     return emit
 
@@ -234,12 +243,17 @@ _HEAD = "<qqiiI"
 _HEAD_SIZE = struct.calcsize(_HEAD)
 
 
-def _run_batches(rules: SuffixRules, bounds: list[int]):
-    edges = np.array(bounds, np.int64)
+_RUNS = "range bigint, run binary, doc_id bigint, key bigint, start bigint, end bigint, ref_doc bigint, ref_key bigint, low bigint, high bigint"
+
+
+def _run_batches(rules: SuffixRules, bounds: list[tuple[bytes, int]], fine: int):
+    """Runs by range; and the suffixes that equal another one of their run, as spans
+    with the windows that they repeat."""
     m, g = rules.min_words, rules.gram
 
     def emit(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {}
+        held: dict[int, dict[tuple[bytes, bytes, int, int], tuple[int, int, int]]] = {}
+        same: list[tuple] = []
         size = 0
         for b in it:
             for i, text, anchors in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
@@ -253,24 +267,38 @@ def _run_batches(rules: SuffixRules, bounds: list[int]):
                     p = a - back
                     suffix = w.data[w.s[a] : w.e[p + more + m - 1]]
                     left = w.data[w.s[p] : w.s[a]]
-                    r = int(np.searchsorted(edges, _prefix_key(w, a), "right"))
-                    held.setdefault(r, []).append((suffix, struct.pack(_HEAD, i, h, p, more, int(w.e[a + g - 1] - w.s[a])) + left))
-                    size += len(suffix) + len(left)
-            if size > 64 << 20:
-                yield _runs(held)
-                held, size = {}, 0
-        if held:
-            yield _runs(held)
-
-    def _runs(held: dict[int, list]) -> pa.RecordBatch:
+                    gram = int(span_hash(w.h, w.s[a : a + 1], w.e[a + g - 1 : a + g]).view(np.int64)[0])
+                    r = bisect_right(bounds, (_prefix(w, a), gram)) * fine + gram % fine
+                    part = held.setdefault(r, {})
+                    entry, me = (suffix, left, more, int(w.e[a + g - 1] - w.s[a])), (i, h, p)
+                    first = part.setdefault(entry, me)
+                    if first is me:
+                        size += len(suffix) + len(left)
+                    elif first != me:
+                        part[entry] = min(first, me)
+                        same.append((part, entry, max(first, me)))
+            if size > rules.run_bytes or len(same) > 1 << 18:
+                yield from _flush(held, same)
+                held, same, size = {}, [], 0
+        yield from _flush(held, same)
+
+    def _flush(held: dict, same: list) -> Iterator[pa.RecordBatch]:
         ids = sorted(held)
-        for r in ids:
-            held[r].sort()
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array([front_code(held[r]) for r in ids], pa.binary())], ["range", "run"])
+        runs = [front_code(sorted((suffix, struct.pack(_HEAD, *who, more, n) + left) for (suffix, left, more, n), who in held[r].items())) for r in ids]
+        n = len(ids)
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(runs, pa.binary()), *[pa.nulls(n, pa.int64())] * 8], _RUN_NAMES)
+        spans = []
+        for part, entry, (i, h, p) in same:
+            j, k, q = part[entry]
+            spans.append((i, h, p, p + entry[2] + m, j, k, q, q + entry[2]))
+        if spans:
+            n = len(spans)
+            yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), *(pa.array(c, pa.int64()) for c in zip(*spans))], _RUN_NAMES)
 
     return emit
 
 
+_RUN_NAMES = [x.split()[0] for x in _RUNS.split(", ")]
 _SPANS = "doc_id bigint, key bigint, start bigint, end bigint, first_doc_id bigint"
 
 
@@ -336,27 +364,31 @@ def _spans(docs: DataFrame, rules: SuffixRules) -> DataFrame:
     # the documents' own repeats have no gram; they are spread by document
     place = F.coalesce("gram", "doc_id")
     counted = found.withColumn("n", F.count("*").over(Window.partitionBy(place, F.col("gram").isNull())))
-    anchors = materialize(counted.where("gram is null or n > 1").select("doc_id", "key", F.col("gram").isNull().alias("own"), "place", "prefix"), "suffix-anchors")
+    anchors = materialize(counted.where("gram is null or n > 1").select("doc_id", "key", F.col("gram").isNull().alias("own"), "gram", "place", "prefix", "repeats"), "suffix-anchors")
     half = lambda c, k: F.expr(f"{c} div {_HALF}L" if k == 0 else f"{c} % {_HALF}L")
-    own = anchors.where("own").select("doc_id", "key", half("place", 0).alias("start"), half("place", 1).alias("end"), half("prefix", 0).alias("low"), half("prefix", 1).alias("high"))
+    repeats = ("doc_id", "key", "start", "end", "ref_doc", "ref_key", "low", "high")
+    own = anchors.where("own").select("doc_id", "key", half("place", 0).alias("start"), half("place", 1).alias("end"), F.col("doc_id").alias("ref_doc"), F.col("key").alias("ref_key"), half("repeats", 0).alias("low"), half("repeats", 1).alias("high"))
     alive = anchors.where("not own")
     n, sampled = alive.agg(F.count("*"), F.count("prefix")).first()
     ranges = max(1, round(n / rules.range_suffixes))
-    share = min(1.0, ranges * rules.oversampling / max(1, sampled))
-    sample = sorted(r.prefix for r in alive.where("prefix is not null").select("prefix").sample(share, 1).collect()) if ranges > 1 else []
-    bounds = sorted({sample[len(sample) * k // ranges] for k in range(1, ranges)}) if sample else []
+    coarse = min(ranges, rules.coarse_ranges)
+    share = min(1.0, coarse * rules.oversampling / max(1, sampled))
+    # at most coarse_ranges * oversampling prefixes, whatever the corpus
+    sample = sorted((bytes(r.prefix), r.gram) for r in alive.where("prefix is not null").select("prefix", "gram").sample(share, 1).collect()) if coarse > 1 else []
+    bounds = sorted({sample[len(sample) * k // coarse] for k in range(1, coarse)}) if sample else []
     by_doc = alive.groupBy("doc_id").agg(F.collect_list(F.struct("key", "place")).alias("anchors"))
-    runs = docs.join(by_doc, "doc_id").select("doc_id", "text", "anchors").mapInArrow(_run_batches(rules, bounds), "range int, run binary")
-    merged = materialize(runs.groupBy("range").applyInArrow(_merge_range(rules), _SPANS), "suffix-merged")
-    return _islands(merged.union(_sourced(own, merged, rules)))
+    runs = materialize(docs.join(by_doc, "doc_id").select("doc_id", "text", "anchors").mapInArrow(_run_batches(rules, bounds, -(-ranges // coarse)), _RUNS), "suffix-runs")
+    merged = materialize(runs.where("range is not null").select("range", "run").groupBy("range").applyInArrow(_merge_range(rules), _SPANS), "suffix-merged")
+    same = runs.where("range is null").select(*repeats)
+    return _islands(merged.union(_sourced(own.unionByName(same), merged, rules)))
 
 
 def _sourced(own: DataFrame, merged: DataFrame, rules: SuffixRules) -> DataFrame:
-    """A document's own repeats with the source found for the windows that they
-    repeat: the document itself where those are the first ones of the corpus."""
+    """Spans that repeat windows (``low`` to ``high``) of a document, with the source
+    found for those: the document itself where they are the first ones of the corpus."""
     found = merged.select(F.col("doc_id").alias("i"), F.col("key").alias("k"), F.col("start").alias("s"), (F.col("end") - rules.min_words).alias("e"), "first_doc_id")
-    same = (F.col("doc_id") == F.col("i")) & (F.col("key") == F.col("k")) & (F.col("low") <= F.col("e")) & (F.col("high") >= F.col("s"))
-    return own.join(found, same, "left").groupBy("doc_id", "key", "start", "end").agg(F.coalesce(F.min("first_doc_id"), "doc_id").alias("first_doc_id"))
+    same = (F.col("ref_doc") == F.col("i")) & (F.col("ref_key") == F.col("k")) & (F.col("low") <= F.col("e")) & (F.col("high") >= F.col("s"))
+    return own.join(found, same, "left").groupBy("doc_id", "key", "start", "end").agg(F.min(F.coalesce("first_doc_id", "ref_doc")).alias("first_doc_id"))
 
 
 def repeated_passages(docs: DataFrame, rules: SuffixRules = SuffixRules()) -> DataFrame:
