@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -71,14 +72,30 @@ def checkpoint_root(spark: SparkSession) -> str:
     return have.get().rstrip("/")
 
 
+_written: list[tuple[SparkSession, str]] = []
+
+
+def _clean_up() -> None:
+    for spark, path in _written:
+        try:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        except Exception:  # the JVM may be gone already; the folder is the cluster's to clean then
+            return
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` as Parquet in the shared folder and reads it back.
 
     Cuts lineage durably: a lost executor costs a re-read of shared files, not
-    a recomputation. Parquet is smaller than ``checkpoint()``'s row files.
+    a recomputation. Parquet is smaller than ``checkpoint()``'s row files. What was
+    written is deleted when the driver's interpreter ends.
     """
     spark = df.sparkSession
     path = f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
+    if not _written:
+        atexit.register(_clean_up)
+    _written.append((spark, path))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
