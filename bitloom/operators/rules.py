@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 
 from bitloom.operators import validation
 from bitloom.plans.dialect import Template
+from bitloom.session import materialize
 from bitloom.sources.streams import REGIONS, TEXT, TYPES, emit_streams, parse_streams, segments
 
 _REGION = "stype in (4, 6, 7, 20, 22, 23, 36, 38, 39, 40, 42, 43)"
@@ -87,7 +88,7 @@ def lifted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seg.select(
         "sid", "ord", "off", "hl", "number", "stype", "form", "referred", "page", "data_length",
         F.array_repeat(F.lit(True), F.col("retain").cast("int")).alias("retain"),
-        F.repeat(F.lit("b"), F.col("body_len").cast("int")).cast("binary").alias("body"),
+        F.col("body_len").cast("int").alias("body_len"),
         when(region, "rw").alias("rw"), when(region, "rh").alias("rh"), when(region, "flags8").alias("rflags"),
         F.when(is_in(48), F.col("pflags")).otherwise(F.col("flags8")).alias("flags8"), "flags16", F.col("huff").alias("huff_flags"),
         when(is_in(0), "n_exp").alias("n_exp"), when(is_in(0), "n_new").alias("n_new"), when(is_in(*TEXT), "n_inst").alias("n_inst"),
@@ -100,7 +101,7 @@ _KEYS = ("sid", "ord", "check_id", "severity", "byte_offset")
 
 
 def _all(spark: SparkSession, sf_dir: str, lens: str = "strict") -> DataFrame:
-    return validation.weighed(validation.findings(lifted(spark, sf_dir)), lens)
+    return validation.weighed(validation.findings(materialize(lifted(spark, sf_dir), "segments")), lens)
 
 
 class Checked(Template):

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from bitloom.session import materialize
 from bitloom.sources.streams import GENERIC, HALFTONE, REFINEMENT, REGIONS, TEXT, TYPES, parse_streams, segments, type_name
 
 #: By lens: checks whose findings are warnings.
@@ -44,7 +45,7 @@ def _is(*types: int) -> Column:
 def _local() -> list[Rule]:
     """(check, condition, byte offset, message) of what one segment shows."""
     start, data, length = c("off"), c("off") + c("hl"), c("off") + c("hl") - 4
-    size = F.coalesce(F.length("body"), F.lit(0))
+    size = F.coalesce(c("body_len"), F.lit(0))
     region = c("rw").isNotNull()
     both = lambda test: c("n_exp").isNotNull() & c("n_new").isNotNull() & (test(c("n_exp")) | test(c("n_new")))
     shift = lambda name, k, mask: F.shiftright(name, k).bitwiseAND(mask)
@@ -101,8 +102,14 @@ def _finding(check: Column | str, at: Column, message: Column | str) -> list[Col
     return [c("sid"), c("ord").cast("bigint").alias("ord"), F.concat(F.lit("T88-"), text(check)).alias("check_id"), F.lit("Error").alias("severity"), at.cast("bigint").alias("byte_offset"), c("number").cast("bigint").alias("segment_number"), name.alias("segment_type"), text(message).alias("message")]
 
 
+def slim(segs: DataFrame) -> DataFrame:
+    """Segment rows with the length of the body in place of the body."""
+    return segs if "body_len" in segs.columns else segs.withColumn("body_len", F.length("body")).drop("body")
+
+
 def local_findings(segs: DataFrame) -> DataFrame:
     """All single-segment checks in one scan."""
+    segs = slim(segs)
     hits = F.array(*[F.when(F.coalesce(test, F.lit(False)), F.struct(F.lit(check).alias("check"), at.cast("bigint").alias("at"), F.lit(text).alias("text"))) for check, test, at, text in _local()])
     return segs.withColumn("hit", F.explode(F.filter(hits, lambda h: h.isNotNull()))).select(*_finding(c("hit.check"), c("hit.at"), c("hit.text")))
 
@@ -131,7 +138,7 @@ def references(segs: DataFrame) -> DataFrame:
 
 
 def reference_findings(segs: DataFrame) -> DataFrame:
-    refs = references(segs.select("sid", "ord", "number", "stype", "off", "flags16", "referred", "retain", "body", "rw"))
+    refs = references(segs.select("sid", "ord", "number", "stype", "off", "flags16", "referred"))
     kinds = F.struct(F.lit(1).alias("there"), F.max(F.when(_is(0), 1).otherwise(0)).alias("symbols"), F.max(F.when(_is(*BITMAP_SOURCES), 1).otherwise(0)).alias("bitmap"))
     known = segs.groupBy("sid", c("number").alias("target")).agg(kinds.alias("k"))
     met = refs.join(known, ["sid", "target"], "left")
@@ -166,6 +173,9 @@ def header_findings(parsed: DataFrame) -> DataFrame:
 def validate(streams: DataFrame, lens: str = "strict", key: str = "sid", content: str = "content") -> DataFrame:
     """Findings of every stream under a lens, to be ordered by (byte_offset, check_id)."""
     parsed = parse_streams(streams, key, content)
+    # several checks look at the same rows: streams are parsed once and bodies left behind
+    light = F.transform("segments", lambda s: s.withField("body_len", F.length(s["body"])).dropFields("body"))
+    parsed = materialize(parsed.withColumn("segments", light), "segments")
     return weighed(findings(segments(parsed)).unionByName(header_findings(parsed)), lens)
 
 
