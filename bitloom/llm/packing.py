@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bitloom.llm.textops import integer_id
+from bitloom.llm.textops import integer_id, releasing
 from bitloom.llm.tokens import VOCABULARY, token_counter
 from bitloom.session import materialize, table
 
@@ -66,6 +66,7 @@ class PackingRules:
 def token_sizes(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """(doc_id, n_tokens) of each document."""
 
+    @releasing
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = token_counter(path)
         for b in it:

@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
-from bitloom.llm.textops import Words, fresh
+from bitloom.llm.textops import Words, fresh, releasing
 from bitloom.session import materialize, table
 
 CHAR_CLASSES = ("lower", "upper", "letter", "digit", "space", "punct", "symbol", "other")
@@ -140,6 +140,7 @@ _HIST = "struct<n_chars:bigint,n_words:bigint,chars:array<bigint>,words:array<bi
 
 
 def _histogram_batches(text: int, keep: list[int], name: str):
+    @releasing
     def emit(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             texts = b.column(text).to_pylist()

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from bitloom.llm.textops import Words, fresh, integer_id, mix, text_key
+from bitloom.llm.textops import Words, fresh, integer_id, mix, releasing, text_key
 from bitloom.session import materialize, table
 
 
@@ -79,6 +79,7 @@ def fingerprint(text: str | None) -> tuple[int, ...] | None:
     return tuple(np.packbits(votes > 0).view(np.int64).tolist())
 
 
+@releasing
 def _fingerprint_batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in it:
         texts = b.column(1).to_pylist()
@@ -114,6 +115,7 @@ _MORE = 32
 def _key_batches(order: np.ndarray, bits: int):
     """(table, bucket, more, doc_id, key, f0, ...) of each row in each table."""
 
+    @releasing
     def emit(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         value = 1 << np.arange(max(bits, _MORE), dtype=np.int64)[::-1]
         tables = len(order)
@@ -174,6 +176,7 @@ def linked(f: np.ndarray, order: np.ndarray, used: int, rules: SimHashRules) ->
 
 
 def _link_batches(order: np.ndarray, bits: int, rules: SimHashRules):
+    @releasing
     def link(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by (table, bucket, part); a bucket may go on in the next batch."""
         kept: list[np.ndarray] = []
@@ -282,6 +285,7 @@ def keep_one_of_each_group(docs: DataFrame, rules: SimHashRules = SimHashRules()
     k, r, i = fresh(docs, "k"), fresh(docs, "r"), fresh(docs, "i")
     at = docs.columns.index("text")
 
+    @releasing
     def add_key(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             key = [None if t is None else text_key(t.encode("utf-8", "surrogatepass")) for t in b.column(at).to_pylist()]

@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from bitloom.llm.textops import Words, integer_id, span_hash, text_key
+from bitloom.llm.textops import Words, integer_id, release, releasing, span_hash, text_key
 from bitloom.session import materialize, table
 
 
@@ -122,6 +122,7 @@ def _anchor_batches(rules: SuffixRules):
     sampled ones. A document's own repeats have no gram; place then holds start
     and end, and ``repeats`` the first and last window that they repeat."""
 
+    @releasing
     def emit(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             rows: list[tuple] = []
@@ -251,6 +252,7 @@ def _run_batches(rules: SuffixRules, bounds: list[tuple[bytes, int]], fine: int)
     with the windows that they repeat."""
     m, g = rules.min_words, rules.gram
 
+    @releasing
     def emit(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, dict[tuple[bytes, bytes, int, int], tuple[int, int, int]]] = {}
         same: list[tuple] = []
@@ -283,22 +285,42 @@ def _run_batches(rules: SuffixRules, bounds: list[tuple[bytes, int]], fine: int)
         yield from _flush(held, same)
 
     def _flush(held: dict, same: list) -> Iterator[pa.RecordBatch]:
-        ids = sorted(held)
-        runs = [front_code(sorted((suffix, struct.pack(_HEAD, *who, more, n) + left) for (suffix, left, more, n), who in held[r].items())) for r in ids]
-        n = len(ids)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(runs, pa.binary()), *[pa.nulls(n, pa.int64())] * 8], _RUN_NAMES)
-        spans = []
-        for part, entry, (i, h, p) in same:
-            j, k, q = part[entry]
-            spans.append((i, h, p, p + entry[2] + m, j, k, q, q + entry[2]))
-        if spans:
+        """In batches of bounded size; what has been written is let go."""
+        for at in range(0, len(same), _BATCH_SPANS):
+            spans = []
+            for part, entry, (i, h, p) in same[at : at + _BATCH_SPANS]:
+                j, k, q = part[entry]
+                spans.append((i, h, p, p + entry[2] + m, j, k, q, q + entry[2]))
             n = len(spans)
             yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), *(pa.array(c, pa.int64()) for c in zip(*spans))], _RUN_NAMES)
+        same.clear()
+        part = entry = None
+        ids: list[int] = []
+        runs: list[bytes] = []
+        size = 0
+        for r in sorted(held):
+            run = front_code(sorted((suffix, struct.pack(_HEAD, *who, more, n) + left) for (suffix, left, more, n), who in held.pop(r).items()))
+            if ids and size + len(run) > _BATCH_BYTES:
+                yield _run_rows(ids, runs)
+                ids, runs, size = [], [], 0
+            ids.append(r)
+            runs.append(run)
+            size += len(run)
+        if ids:
+            yield _run_rows(ids, runs)
 
     return emit
 
 
 _RUN_NAMES = [x.split()[0] for x in _RUNS.split(", ")]
+#: Of an Arrow batch of runs, unless one run is longer, and of one of spans.
+_BATCH_BYTES = 4 << 20
+_BATCH_SPANS = 1 << 15
+
+
+def _run_rows(ids: list[int], runs: list[bytes]) -> pa.RecordBatch:
+    n = len(ids)
+    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(runs, pa.binary()), *[pa.nulls(n, pa.int64())] * 8], _RUN_NAMES)
 _SPANS = "doc_id bigint, key bigint, start bigint, end bigint, first_doc_id bigint"
 
 
@@ -351,6 +373,7 @@ def _merge_range(rules: SuffixRules):
                 group, gram = [(suffix, payload)], suffix[:n]
         _settle(group, rules.min_words, out)
         cols = list(zip(*out)) if out else [[]] * 5
+        release()
         return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("doc_id", "key", "start", "end", "first_doc_id"), cols)})
 
     return merge
@@ -408,6 +431,7 @@ def _islands(spans: DataFrame) -> DataFrame:
     return out.select("doc_id", "key", "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), "first_doc_id")
 
 
+@releasing
 def _cut_batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in it:
         t = b.schema.get_field_index("text")

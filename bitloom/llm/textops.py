@@ -8,9 +8,13 @@ the identity of a text matters, ``text_key`` or the bytes themselves decide.
 
 from __future__ import annotations
 
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 from hashlib import blake2b
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
@@ -98,6 +102,30 @@ def integer_id(df: DataFrame, name: str) -> Column:
     return F.col(name).cast("bigint").alias(name)
 
 
+def release() -> None:
+    """Returns what this process has freed to the system: Arrow's pool and the C
+    allocator keep it otherwise."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError, TypeError):  # not glibc
+        pass
+
+
+def releasing(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``f``, after which its worker holds no free memory: a worker outlives its task,
+    and what it keeps counts on top of what the next stages need."""
+
+    @functools.wraps(f)
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from f(it)
+        finally:
+            release()
+
+    return run
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that ``df`` doesn't have."""
     have = {c.lower() for c in df.columns}

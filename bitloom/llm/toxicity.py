@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bitloom.llm.textops import Words, mix, span_hash
+from bitloom.llm.textops import Words, mix, releasing, span_hash
 from bitloom.session import materialize, table
 
 
@@ -88,12 +88,14 @@ def _training_rows(docs: DataFrame, labels: DataFrame, rules: ToxicityRules) ->
     return rows.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(rules.max_training_rows)
 
 
+@releasing
 def _encode_rows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in it:
         f = [features(t).view(np.int64) for t in b.column(2).to_pylist()]
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(f, pa.list_(pa.int64()))], ["doc_id", "toxic", "features"])
 
 
+@releasing
 def _count_features(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in it:
         if not b.num_rows:
@@ -250,6 +252,7 @@ def train(docs: DataFrame, labels: DataFrame, rules: ToxicityRules = ToxicityRul
     keys = _select_features(rows, rules)
     chosen = np.sort(np.array(keys, np.int64))
 
+    @releasing
     def narrow(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             kept = [f[np.isin(f, chosen)] for f in (np.array(f, np.int64) for f in b.column(2).to_pylist())]
@@ -269,6 +272,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, rules: ToxicityRules = T
     chain = train(docs, labels, rules)
     names = _chain_names(rules)
 
+    @releasing
     def score(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             p = chain.predict([chain.columns(features(t)) for t in b.column(1).to_pylist()])
@@ -285,6 +289,7 @@ def toxicity_filter(docs: DataFrame, labels: DataFrame, rules: ToxicityRules = T
     chain = train(docs, labels, rules)
     at = docs.columns.index("text")
 
+    @releasing
     def keep(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             p = chain.predict([chain.columns(features(t)) for t in b.column(at).to_pylist()])
