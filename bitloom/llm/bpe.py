@@ -39,6 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bitloom.llm.pretokens import Batch
+from bitloom.llm.textops import released, releasing
 from bitloom.llm.tokens import VOCABULARY, merger, slices, vocabulary
 from bitloom.session import materialize, table
 
@@ -205,6 +206,7 @@ def _exploded(chunk: int, kind: pa.DataType, bucket=None, docs=None, lengths=Non
 
 
 def _explode(chunk_chars: int, buckets: int):
+    @releasing
     def emit(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk = TaskContext.get().partitionId() << 32
         held = _Chunk()
@@ -226,6 +228,7 @@ def _encode_bucket(path: str):
     own words, in the order of its words."""
     kind = np.uint16 if max(vocabulary(path).values()) < 1 << 16 else np.uint32
 
+    @released
     def encode(t: pa.Table) -> pa.Table:
         m = merger(path)
         parts = [unpack_words(*_unsqueeze(x)) for x in t.column("words").to_pylist()]
@@ -259,6 +262,7 @@ def token_bytes(path: str) -> tuple[np.ndarray, np.ndarray]:
 def _assemble(kind: pa.DataType, path: str):
     width = 2 if max(vocabulary(path).values()) < 1 << 16 else 4
 
+    @released
     def assemble(docs: pa.Table, words: pa.Table) -> pa.Table:
         numbers, counts, values = [], [], []
         for code, ids in zip(words.column("codes").to_pylist(), words.column("ids").to_pylist()):
@@ -322,6 +326,7 @@ def token_table(spark: SparkSession, path: str = VOCABULARY) -> DataFrame:
 def _distinct_ids(chunk_ids: int):
     """(chunk, id, doc_id, ids): each chunk's distinct ids and its documents."""
 
+    @releasing
     def emit(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk = TaskContext.get().partitionId() << 32
         seen: list[np.ndarray] = []
@@ -348,20 +353,40 @@ def _distinct_ids(chunk_ids: int):
     return emit
 
 
+#: Ids of which the bytes are formed at a time; a document is never cut.
+_SLICE_IDS = 1 << 18
+
+
+def _by_ids(lists: pa.Array) -> Iterator[tuple[pa.Array, np.ndarray]]:
+    """(lists, their sizes): parts with about ``_SLICE_IDS`` ids."""
+    size = pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    part = (np.cumsum(size) - size) // _SLICE_IDS
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(size)]
+    for lo, hi in zip(cuts, cuts[1:]):
+        yield lists.slice(lo, hi - lo), size[lo:hi]
+
+
 def _decode_chunk(kind: pa.DataType):
+    @released
     def decode(docs: pa.Table, tokens: pa.Table) -> pa.Table:
         tokens = tokens.sort_by("id")
-        keys = tokens.column("id").to_numpy()
-        known = tokens.column("bytes").is_valid().to_numpy()
+        # one entry more stands for null ids
+        keys = np.append(tokens.column("id").to_numpy(), np.iinfo(np.int64).max)
+        known = np.append(tokens.column("bytes").is_valid().to_numpy(), False)
         flat, ends = _values(tokens.column("bytes").combine_chunks().fill_null(b""))
-        out: list[str | None] = []
-        for ids in docs.column("ids").to_pylist():
-            if ids is None or None in ids:
-                out.append(None)
-                continue
-            at = np.searchsorted(keys, np.array(ids, np.int64))
-            out.append(_gather(flat, ends, at)[0].tobytes().decode("utf-8", "replace") if known[at].all() else None)
-        return pa.table({"doc_id": docs.column("doc_id").cast(kind), "text": pa.array(out, pa.string())})
+        ends = np.append(ends, len(flat))
+        out: list[pa.Array] = []
+        for lists, size in (x for c in docs.column("ids").chunks if len(c) for x in _by_ids(c)):
+            ids = lists.flatten().cast(pa.int64()).fill_null(np.iinfo(np.int64).max).to_numpy(zero_copy_only=False)
+            at = np.searchsorted(keys, ids)
+            whole = np.bincount(np.repeat(np.arange(len(size)), size)[~known[at]], minlength=len(size)) == 0
+            whole &= lists.is_valid().to_numpy(zero_copy_only=False)
+            data, n = _gather(flat, ends, at)
+            stop = np.concatenate(([0], np.cumsum(n)))[np.concatenate(([0], np.cumsum(size)))]
+            data = data.tobytes()
+            texts = [data[a:b].decode("utf-8", "replace") if w else None for a, b, w in zip(stop[:-1].tolist(), stop[1:].tolist(), whole.tolist())]
+            out.append(pa.array(texts, pa.string()))
+        return pa.table({"doc_id": docs.column("doc_id").cast(kind), "text": pa.chunked_array(out, pa.string())})
 
     return decode
 

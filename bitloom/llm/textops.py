@@ -126,6 +126,21 @@ def releasing(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]])
     return run
 
 
+def released(f: Callable[..., pa.Table]) -> Callable[..., pa.Table]:
+    """The same for a function from the table of a group, or from those of two, to a
+    table; Spark tells them by their parameters."""
+
+    def run(*tables: pa.Table) -> pa.Table:
+        try:
+            return f(*tables)
+        finally:
+            release()
+
+    one: Callable[..., pa.Table] = lambda t: run(t)
+    two: Callable[..., pa.Table] = lambda t, u: run(t, u)
+    return one if f.__code__.co_argcount == 1 else two
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that ``df`` doesn't have."""
     have = {c.lower() for c in df.columns}
