@@ -118,16 +118,13 @@ def huffman_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            keys, tables, back = [], [], []
-            for key, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                for k in range(1, 16):
-                    x = v % 5 - 2 if k == 14 else v
-                    w = huffman.Writer()
-                    huffman.standard(k).encode(w, x)
-                    keys.append(key)
-                    tables.append(k)
-                    back.append(huffman.standard(k).decode(huffman.Reader(w.finish())))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(tables, pa.int32()), pa.array(back, pa.int64())], ["o_orderkey", "table_no", "decoded"])
+            known = b.column(1).is_valid().to_numpy(zero_copy_only=False)
+            v = b.column(1).fill_null(0).to_numpy()[known]
+            for k in range(1, 16):
+                table = huffman.standard(k).columns
+                back = np.zeros(b.num_rows, np.int64)
+                back[known] = table.decode(*table.encode(np.fmod(v, 5) - 2 if k == 14 else v))[0]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.full(b.num_rows, k, np.int32)), pa.array(back, mask=~known)], ["o_orderkey", "table_no", "decoded"])
 
     return table(spark, sf_dir, "orders").selectExpr("o_orderkey", "1 + o_orderkey * o_custkey % 100000 as v").mapInArrow(run, "o_orderkey bigint, table_no int, decoded bigint")
 
