@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -93,21 +94,51 @@ def generic_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 _VALUE = "case when l_linenumber % 2 = 0 then -cast(l_quantity as bigint) else cast(round(l_extendedprice) as bigint) end"
 
 
+#: Values of an order up to which it is coded in step with others, and values that are
+#: coded at once; they bound memory and change no result.
+_IN_STEP, _AT_ONCE = 64, 1 << 14
+
+
+def _alone(values: list[int]) -> list[int]:
+    enc, states = mq.Encoder(), bytearray(512)
+    for x in [*values, None]:
+        mq.encode_integer(enc, states, x)
+    dec, states, back = mq.Decoder(enc.finish()), bytearray(512), []
+    while (v := mq.decode_integer(dec, states)) is not None:
+        back.append(v)
+    return back
+
+
 def integer_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every order's values coded with the arithmetic integer coder."""
+    """Every order's values coded with the arithmetic integer coder, those of many
+    orders in step."""
+
+    def code(b: pa.RecordBatch) -> pa.RecordBatch:
+        values = b.column(1).flatten()
+        known = values.is_valid().to_numpy(zero_copy_only=False)
+        order = np.repeat(np.arange(b.num_rows), b.column(1).value_lengths().to_numpy())[known]
+        v, size = values.drop_null().to_numpy(), np.bincount(order, minlength=b.num_rows)
+        short = size <= _IN_STEP
+        back, ends = mq.decode_integers(mq.encode_integers(v[short[order]], np.cumsum(size[short])))
+        out = np.full(b.num_rows, None, object)
+        texts = pa.array(back).cast(pa.string())
+        out[short] = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), texts), ",").to_numpy(zero_copy_only=False)
+        stop = np.cumsum(size)
+        for k in np.flatnonzero(~short).tolist():
+            out[k] = ",".join(map(str, _alone(v[stop[k] - size[k] : stop[k]].tolist())))
+        out[size == 0] = None
+        return pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], ["o_orderkey", "decoded"])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
         for b in it:
-            out = []
-            for values in b.column(1).to_pylist():
-                enc, states = mq.Encoder(), bytearray(512)
-                for x in [*values, None]:
-                    mq.encode_integer(enc, states, x)
-                dec, states, back = mq.Decoder(enc.finish()), bytearray(512), []
-                while (v := mq.decode_integer(dec, states)) is not None:
-                    back.append(v)
-                out.append(",".join(map(str, back)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], ["o_orderkey", "decoded"])
+            held.append(b)
+            n += len(b.column(1).flatten())
+            if n >= _AT_ONCE:
+                yield from map(code, pa.Table.from_batches(held).combine_chunks().to_batches())
+                held, n = [], 0
+        if held:
+            yield from map(code, pa.Table.from_batches(held).combine_chunks().to_batches())
 
     sql = f"select l_orderkey as o_orderkey, transform(array_sort(collect_list(struct(l_linenumber, {_VALUE} as v))), s -> s.v) as v from {{lineitem}} group by l_orderkey"
     return spark.sql(sql, lineitem=table(spark, sf_dir, "lineitem")).mapInArrow(run, "o_orderkey bigint, decoded string")
