@@ -16,7 +16,7 @@ from bitloom.functions.pages import EncodeRules
 from bitloom.operators.documents import decode_pages, encode_documents
 from bitloom.plans.dialect import Template
 from bitloom.plans.lifts import HEIGHT, WIDTH
-from bitloom.session import table
+from bitloom.session import spread, table
 
 
 class Coded(Template):
@@ -46,7 +46,7 @@ def lifted_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
                 out.append(np.packbits(bitmap, axis=1).tobytes())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["sid", "bits"])
 
-    packed = line.groupBy("page").agg(rows.alias("r")).mapInArrow(pack, "sid bigint, bits binary")
+    packed = spread(line, "page").groupBy("page").agg(rows.alias("r")).mapInArrow(pack, "sid bigint, bits binary")
     return packed.selectExpr("sid", "1L as page", f"{WIDTH}L as width", f"{HEIGHT}L as height", "bits")
 
 
@@ -141,7 +141,7 @@ def integer_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
             yield from map(code, pa.Table.from_batches(held).combine_chunks().to_batches())
 
     sql = f"select l_orderkey as o_orderkey, transform(array_sort(collect_list(struct(l_linenumber, {_VALUE} as v))), s -> s.v) as v from {{lineitem}} group by l_orderkey"
-    return spark.sql(sql, lineitem=table(spark, sf_dir, "lineitem")).mapInArrow(run, "o_orderkey bigint, decoded string")
+    return spark.sql(sql, lineitem=spread(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice"), "l_orderkey")).mapInArrow(run, "o_orderkey bigint, decoded string")
 
 
 def huffman_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:

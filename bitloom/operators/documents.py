@@ -21,6 +21,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType, _parse_datatype_string
 
 from bitloom.functions import pages as pg
+from bitloom.session import spread
 
 PAGE = "page bigint, width bigint, height bigint, bits binary, error string"
 
@@ -60,7 +61,7 @@ def decode_pages(streams: DataFrame, key: str = "sid", content: str = "content")
 def encode_documents(pages: DataFrame, rules: pg.EncodeRules = pg.EncodeRules()) -> DataFrame:
     """(sid, content, modes) of pages (sid, page, width, height, bits), in their order."""
     kind = pages.schema["sid"].dataType
-    docs = pages.groupBy("sid").agg(F.array_sort(F.collect_list(F.struct("page", "width", "height", "bits"))).alias("p"))
+    docs = spread(pages, "sid").groupBy("sid").agg(F.array_sort(F.collect_list(F.struct("page", "width", "height", "bits"))).alias("p"))
 
     def encode(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:

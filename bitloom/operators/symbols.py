@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from bitloom.operators.codecs import Coded
 from bitloom.plans.dialect import PRELUDES, Prelude, Template
-from bitloom.session import materialize
+from bitloom.session import materialize, spread
 
 _XOR = " + ".join(f"bit_count($xor[a.r{k},b.r{k}])" for k in range(8))
 _INK = " + ".join(f"bit_count(r{k})" for k in range(8))
@@ -64,9 +64,7 @@ def _over_pairs(spark: SparkSession, sf_dir: str, work: Callable, schema: str) -
                 at[side] = np.frombuffer(ids, np.int64), np.frombuffer(bits, np.uint64)
         yield from work(*at["p"], *at["q"])
 
-    # few bytes but many pairs: the number given keeps them from being put into few tasks
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    return sides[0].union(sides[1]).repartition(n, "p", "q").groupBy("p", "q").applyInArrow(run, schema)
+    return spread(sides[0].union(sides[1]), "p", "q").groupBy("p", "q").applyInArrow(run, schema)
 
 
 def _tiles(ids: np.ndarray, bits: np.ndarray, others: np.ndarray, words: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray | None]]:
